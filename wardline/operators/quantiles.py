@@ -7,23 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 100_000
-MARGIN = 4.0 / ACCURACY
+MARGINS = (1e-4, 1e-3, 1e-2, 1e-1)
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles: table (by…, feature, prob, value).
 
-    The mergeable sketch has a rank error of at most one part in ``ACCURACY``, so a bracket of four
-    such parts on both sides holds the wanted order statistics. The second pass counts the rows
-    below the bracket and sorts only the distinct values inside it; nothing else is shuffled.
+    The mergeable sketch has a rank error of at most one part in ``ACCURACY``, so a bracket that
+    adds a few such parts and a few ranks on both sides holds the wanted order statistics. The
+    second pass counts the rows below the bracket and sorts only the distinct values inside it;
+    nothing else is shuffled.
     """
     by = list(by)
     longs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols]))
     long = df.select(*by, longs.alias("_e")).select(*by, "_e.feature", "_e.v")
     long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    edges: list[float] = []
-    for p in probs:
-        edges += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+    edges = [e for p in probs for m in MARGINS for e in (max(0.0, p - m), min(1.0, p + m))]
     keys = [*by, "feature"]
     sketch = long.groupBy(*keys).agg(
         F.percentile_approx("v", edges, ACCURACY).alias("_q"),
@@ -31,16 +30,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         F.min("v").alias("_min"),
         F.max("v").alias("_max"),
     )
+    need = F.lit(4.0 / ACCURACY) + F.lit(4.0) / F.col("_n")
     brackets = []
     for i, p in enumerate(probs):
-        low = F.col("_min") if edges[2 * i] == 0.0 else F.col("_q")[2 * i]
-        high = F.col("_max") if edges[2 * i + 1] == 1.0 else F.col("_q")[2 * i + 1]
-        brackets.append(
-            F.struct(
-                F.lit(float(p)).alias("prob"), low.alias("low"), high.alias("high"),
-                (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"),
-            )
-        )
+        low, high = F.col("_min"), F.col("_max")
+        for j in reversed(range(len(MARGINS))):
+            at, margin = 2 * (i * len(MARGINS) + j), MARGINS[j]
+            if p - margin > 0:
+                low = F.when(need <= margin, F.col("_q")[at]).otherwise(low)
+            if p + margin < 1:
+                high = F.when(need <= margin, F.col("_q")[at + 1]).otherwise(high)
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        brackets.append(F.struct(F.lit(float(p)).alias("prob"), low.alias("low"), high.alias("high"), at.alias("at")))
     bracket = sketch.select(*keys, F.array(*brackets).alias("_b"))
     tagged = long.join(bracket, keys).select(*keys, "v", F.explode("_b").alias("_b")).filter("v <= _b.high")
     shape = [*keys, F.col("_b.prob").alias("prob"), F.col("_b.at").alias("at")]

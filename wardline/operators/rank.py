@@ -47,9 +47,7 @@ def running_total(counts: DataFrame, group: Sequence[str], value: str, n: str, o
     group = list(group)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, probs, 10_000).alias("_cuts"))
-    placed = (counts.join(cuts, group) if group else counts.join(cuts, F.lit(True))).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))
-    ).drop("_cuts")
+    placed = counts.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     totals = placed.groupBy(*group, "_b").agg(F.sum(n).alias("_t"))
     prior = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_b", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_o"))
