@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from wardline.catalog import scalars, tables  # noqa: F401
+from wardline.catalog import aggregates, detectors, joins, scalars, tables, windows  # noqa: F401
 from wardline.catalog.registry import ORACLES, QUERIES  # noqa: F401

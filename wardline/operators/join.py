@@ -52,8 +52,8 @@ def with_baseline(
 def fill_ids(df: DataFrame, col: str, used: DataFrame, order_by: Sequence, seed: int = 0) -> DataFrame:
     """Surrogate ids for null ids.
 
-    New ids have the typical (median) digit count of the used ones and collide neither with those,
-    with the ids present in ``df``, nor with each other. Candidates are the values of a seeded
+    New ids have the typical (median) digit count of the used ones, or the next count with enough
+    free ids, and collide neither with those, with the ids present in ``df``, nor with each other. Candidates are the values of a seeded
     affine permutation of the id range; free ones are numbered and matched with the null rows by
     number, so both sides are plain distributed joins.
     """
@@ -63,15 +63,16 @@ def fill_ids(df: DataFrame, col: str, used: DataFrame, order_by: Sequence, seed:
     taken = used.select(F.col(col)).union(df.select(F.col(col))).filter(F.col(col).isNotNull()).distinct()
     lengths = used.filter(F.col(col).isNotNull()).select(F.length(F.col(col).cast("string")).alias("len"))
     digits = int(exact_quantiles(lengths, ["len"], [0.5]).first()["value"])
-    low, size = 10 ** (digits - 1), 9 * 10 ** (digits - 1)
-
     holes = with_row_id(df.filter(F.col(col).isNull()), order_by, "_no")
     need = holes.count()
     if not need:
         return df
-    blocked = taken.filter(F.col(col).between(low, low + size - 1)).count()
-    if need + blocked > size:
-        raise ValueError(f"{digits}-digit ids cannot hold {need} new values")
+    while True:
+        low, size = 10 ** (digits - 1), 9 * 10 ** (digits - 1)
+        blocked = taken.filter(F.col(col).between(low, low + size - 1)).count()
+        if need + blocked <= size:
+            break
+        digits += 1
     step = 48_271 + 2 * seed
     while math.gcd(step, size) != 1:
         step += 1
