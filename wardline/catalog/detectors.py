@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.catalog.registry import register, rounded, sql_rounded as r
-from wardline.catalog.views import sql, vec
+from wardline.catalog.models import keyed_days
+from wardline.catalog.tables import metrics_sql
+from wardline.catalog.views import FEATS, FEAT_KEYS, ITEMS, feat, pred, sql, vec
+from wardline.models import explain, tune
+from wardline.models.base import load_model, to_vector
+from wardline.models.iforest import IsolationForest
 from wardline.models.lof import LocalOutlierFactor
 from wardline.models.neighbours import knn_join
+from wardline.models.ocsvm import OneClassSVM
+from wardline.operators.agg import classification_metrics
+from wardline.operators.sets import union_named
+from wardline.session import cut_lineage, scratch_path
 
 K = 10
 PAIRS = (
@@ -44,3 +53,123 @@ LOF = (
 def k3(spark, sf):
     model = LocalOutlierFactor(K, 0.1).fit(vec(spark, sf))
     return model.train_flags().select("row_id", rounded("score").alias("score"), "is_anomaly")
+
+
+def _features(spark, sf):
+    """Line items with a consecutive row id and their numeric columns as a vector."""
+    from wardline.operators.rank import with_row_id
+
+    rows = with_row_id(feat(spark, sf), [*FEAT_KEYS, *FEATS], "row_id")
+    return to_vector(rows, FEATS).select("row_id", "features")
+
+
+@register("k1_isolation_forest")
+def k1(spark, sf):
+    rows = cut_lineage(_features(spark, sf))
+    model = IsolationForest(50, 0.1, 0.5, seed=42, task_rows=20_000 if rows.count() < 100_000 else 400_000).fit(rows)
+    return model.transform(rows).select("row_id", rounded("score").alias("score"), "is_anomaly")
+
+
+@register("k2_one_class_svm")
+def k2(spark, sf):
+    rows = vec(spark, sf)
+    return OneClassSVM("rbf", 0.1, "scale").fit(rows).transform(rows).select("row_id", rounded("score").alias("score"), "is_anomaly")
+
+
+@register("k4_predict_novelty")
+def k4(spark, sf):
+    rows = vec(spark, sf)
+    parts = [rows.filter("label < 8"), rows.filter("label >= 8")]
+    out = LocalOutlierFactor(K, 0.1).fit(parts[0]).transform(parts[1])
+    return out.select("row_id", "label", rounded("score").alias("score"), rounded("decision").alias("decision"), "is_anomaly")
+
+
+SMALL_GRIDS = {
+    "isolation_forest": {"n_estimators": [25, 50], "contamination": [0.2, 0.1], "max_samples": ["auto", 0.5]},
+    "one_class_svm": {"kernel": ["rbf", "poly"], "nu": [0.1, 0.2], "gamma": ["scale"]},
+    "lof": {"n_neighbors": [5, 10], "contamination": [0.1, 0.2]},
+}
+
+
+def _sweep(spark, sf):
+    rows = vec(spark, sf).withColumn("label", (F.col("label") >= 8).cast("int"))
+    squared = rows.withColumn("features", F.transform("features", lambda x: x * x))
+    return tune.sweep({"raw": (rows, rows), "squared": (squared, squared)}, SMALL_GRIDS, landmarks=64)
+
+
+@register("k5_sweep")
+def k5(spark, sf):
+    runs, _ = _sweep(spark, sf)
+    return runs.select("config", "ord", "model_id", rounded("fbeta").alias("fbeta"), "anomalies_train", "anomalies_test", "true_anomalies")
+
+
+@register(
+    "k6_evaluate",
+    metrics_sql(f"SELECT model_id, config, {r('precision')} AS precision, {r('recall')} AS recall, {r('accuracy')} AS accuracy, {r('fbeta')} AS fbeta, "
+                "tp + fp AS anomalies_train, tp + fp AS anomalies_test, tp + fn AS true_anomalies FROM runs"),
+)
+def k6(spark, sf):
+    rows = pred(spark, sf).withColumnsRenamed({"y": "label", "y_pred": "is_anomaly"})
+    out = tune.evaluate(rows, rows, by=("config", "model_id", "ord"))
+    return out.select("model_id", "config", *[rounded(m).alias(m) for m in ("precision", "recall", "accuracy", "fbeta")],
+                      "anomalies_train", "anomalies_test", "true_anomalies")
+
+
+@register(
+    "k7_select_best",
+    metrics_sql(f"SELECT config, model_id, {r('fbeta')} AS fbeta FROM runs WHERE fbeta > 0 QUALIFY row_number() OVER (PARTITION BY config ORDER BY fbeta DESC, ord) = 1"),
+)
+def k7(spark, sf):
+    runs = classification_metrics(pred(spark, sf), "y", "y_pred", ["config", "model_id", "ord"])
+    return tune.select_best(runs).select("config", "model_id", rounded("fbeta").alias("fbeta"))
+
+
+def _day_vectors(spark, sf):
+    return cut_lineage(to_vector(keyed_days(spark, sf).na.fill(0.0, ITEMS), ITEMS).select("row_id", "features"))
+
+
+@register("k8_shapley")
+def k8(spark, sf):
+    rows = _day_vectors(spark, sf)
+    model = IsolationForest(50, 0.1).fit(rows)
+    return explain.shapley(model.scorer(), rows, rows, ITEMS, n_background=8, hide=["error"])
+
+
+@register(
+    "k9_shapley_summary",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {r(f'avg(abs({c}))')} AS mean_abs, {r(f'quantile_cont({c}, 0.25)')} AS q1, {r(f'median({c})')} AS median, {r(f'quantile_cont({c}, 0.75)')} AS q3 "
+        "FROM (SELECT l_quantity - 25 AS l_quantity, l_discount - l_tax AS l_discount FROM lineitem)" for c in ("l_quantity", "l_discount")),
+)
+def k9(spark, sf):
+    phi = feat(spark, sf).select((F.col("l_quantity") - 25).alias("l_quantity"), (F.col("l_discount") - F.col("l_tax")).alias("l_discount"))
+    out = explain.shapley_summary(phi, ["l_quantity", "l_discount"])
+    return out.select("feature", *[rounded(c).alias(c) for c in ("mean_abs", "q1", "median", "q3")])
+
+
+WIDE = [f"e{i}" for i in range(1, 65)]
+
+
+@register(
+    "k10_neighbour_deviation",
+    knn_sql(f"SELECT row_id, feature, {r('deviation')} AS deviation, CAST(row_number() OVER (PARTITION BY row_id ORDER BY deviation DESC, feature) AS INTEGER) AS rank FROM dev",
+            ", dev AS (SELECT n.query_id AS row_id, 'e' || CAST(d.i AS VARCHAR) AS feature, abs(any_value(q.features[d.i]) - avg(t.features[d.i])) AS deviation "
+            "FROM near n JOIN vec q ON n.query_id = q.row_id JOIN vec t ON n.neighbour_id = t.row_id CROSS JOIN range(1, 65) d(i) GROUP BY n.query_id, d.i)"),
+)
+def k10(spark, sf):
+    rows = vec(spark, sf).select("row_id", *[F.col("features")[i].alias(c) for i, c in enumerate(WIDE)])
+    return explain.neighbour_deviation(rows, rows, WIDE, K, exclude_self=True).withColumn("deviation", rounded("deviation"))
+
+
+@register("a10_save_load_models")
+def a10(spark, sf):
+    rows = vec(spark, sf).select("row_id", "features")
+    fitted = [IsolationForest(20, 0.1).fit(rows), OneClassSVM("rbf", 0.2, landmarks=32).fit(rows), LocalOutlierFactor(5, 0.1).fit(rows)]
+    parts = []
+    for model in fitted:
+        loaded = load_model(spark, model.save(scratch_path(spark, model.KIND)))
+        both = model.transform(rows).select("row_id", F.col("is_anomaly").alias("a")).join(
+            loaded.transform(rows).select("row_id", F.col("is_anomaly").alias("b")), "row_id")
+        parts.append(both.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("n_flagged"), F.count_if(F.col("a") == F.col("b")).alias("n_same"))
+                     .withColumn("kind", F.lit(model.KIND)))
+    return union_named(*parts)
