@@ -66,7 +66,14 @@ def _features(spark, sf):
 @register("k1_isolation_forest")
 def k1(spark, sf):
     rows = cut_lineage(_features(spark, sf))
-    model = IsolationForest(50, 0.1, 0.5, seed=42, task_rows=20_000 if rows.count() < 100_000 else 400_000).fit(rows)
+    model = IsolationForest(50, 0.1, seed=42).fit(rows)
+    return model.transform(rows).select("row_id", rounded("score").alias("score"), "is_anomaly")
+
+
+@register("k1_isolation_forest_fraction")
+def k1f(spark, sf):
+    rows = vec(spark, sf)
+    model = IsolationForest(50, 0.2, 0.5, seed=42).fit(rows)
     return model.transform(rows).select("row_id", rounded("score").alias("score"), "is_anomaly")
 
 

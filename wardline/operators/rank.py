@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardline.session import cut_lineage
+from wardline.session import pin_partitions
 
 INDEX_BITS = 33
 
@@ -18,7 +18,7 @@ def with_row_id(df: DataFrame, order_by: Sequence, out: str = "ROW", start: int
     written once to the shared folder, which fixes the partition numbers. Only one count per
     partition reaches the driver.
     """
-    placed = cut_lineage(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
+    placed = pin_partitions(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
     tagged = placed.withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftright("_at", INDEX_BITS)
     counts = {r["p"]: r["n"] for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -47,7 +47,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder and read back from there."""
+    """The rows as a table written to the shared folder: later plans start from its files.
+
+    Survives the loss of executors, and gives the optimizer fresh sizes to choose joins by.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for rows whose place within partitions must not change any more."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession) + "/checkpoints")
