@@ -42,12 +42,10 @@ def shapley(
     orders = np.array([rng.permutation(d) for _ in range(n_perm * len(back))])
     walks = [(b, o) for i, order in enumerate(orders) for b in [back[i % len(back)]] for o in (order, order[::-1])]
     base = sign * float(np.mean(score(back)))
-    shared = df.sparkSession.sparkContext.broadcast((score, walks))
     chunk = max(1, CELLS_AT_ONCE // (d * (d + 1)))
     shown = [i for i, c in enumerate(cols) if c not in hide]
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, paths = shared.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -55,15 +53,15 @@ def shapley(
             phi = np.zeros_like(everything)
             for start in range(0, len(everything), chunk):
                 x = everything[start : start + chunk]
-                for b, order in paths:
+                for b, order in walks:
                     mixed = np.tile(b, (len(x), 1))
                     stages = [mixed.copy()]
                     for f in order:
                         mixed[:, f] = x[:, f]
                         stages.append(mixed.copy())
-                    scores = scorer(np.concatenate(stages)).reshape(d + 1, len(x))
+                    scores = score(np.concatenate(stages)).reshape(d + 1, len(x))
                     phi[start : start + chunk, order] += np.diff(scores, axis=0).T
-            phi *= sign / len(paths)
+            phi *= sign / len(walks)
             out = pd.DataFrame({ROW_ID: batch[ROW_ID].to_numpy(), "base": base})
             for i in shown:
                 out[cols[i]] = phi[:, i]
