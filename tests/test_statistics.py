@@ -49,7 +49,7 @@ def _ranks(v):
 def test_average_ranks(skewed):
     df, x, _ = skewed
     long = df.select(F.lit("x").alias("feature"), F.col("x").alias("v"))
-    got = {r["v"]: r["rank"] for r in rank.average_ranks(long, ["feature"], "v", buckets=16).collect()}
+    got = {r["v"]: r["rank"] for r in rank.average_ranks(long, ["feature"], "v", levels=4).collect()}
     want = dict(zip(x, _ranks(x)))
     assert got == pytest.approx(want)
 

@@ -83,7 +83,24 @@ def k2(spark, sf):
     return OneClassSVM("rbf", 0.1, "scale").fit(rows).transform(rows).select("row_id", rounded("score").alias("score"), "is_anomaly")
 
 
-@register("k4_predict_novelty")
+NOVELTY = (
+    "train AS (SELECT * FROM vec WHERE label < 8), "
+    "near AS (SELECT q.row_id AS query_id, t.row_id AS neighbour_id, list_distance(q.features, t.features) AS distance "
+    f"FROM train q JOIN train t ON q.row_id <> t.row_id QUALIFY row_number() OVER (PARTITION BY q.row_id ORDER BY distance, t.row_id) <= {K}), "
+    "fresh AS (SELECT q.row_id AS query_id, q.label, t.row_id AS neighbour_id, list_distance(q.features, t.features) AS distance "
+    f"FROM vec q, train t WHERE q.label >= 8 QUALIFY row_number() OVER (PARTITION BY q.row_id ORDER BY distance, t.row_id) <= {K})"
+    + LOF
+    + ", own AS (SELECT f.query_id, any_value(f.label) AS label, 1.0 / (avg(greatest(f.distance, k.kdist)) + 1e-10) AS lrd, avg(l.lrd) AS around "
+    "FROM fresh f JOIN kd k ON f.neighbour_id = k.row_id JOIN lrd l ON f.neighbour_id = l.row_id GROUP BY f.query_id), "
+    "cut AS (SELECT quantile_cont(score, 0.1) AS c FROM lof) "
+)
+
+
+@register(
+    "k4_predict_novelty",
+    sql("vec", "").rstrip() + ", " + NOVELTY + f"SELECT query_id AS row_id, label, {r('-around / lrd')} AS score, "
+    f"{r('-around / lrd - c')} AS decision, CASE WHEN -around / lrd < c THEN 1 ELSE 0 END AS is_anomaly FROM own, cut",
+)
 def k4(spark, sf):
     rows = vec(spark, sf)
     parts = [rows.filter("label < 8"), rows.filter("label >= 8")]

@@ -82,7 +82,12 @@ def a7(spark, sf):
     )
 
 
-@register("a8_dataset_registry")
+@register(
+    "a8_dataset_registry",
+    sql("daily", " UNION ALL ".join(
+        f"SELECT '{c}' AS config, '{s}' AS split, count(*) AS n, {e} AS n_view FROM daily WHERE day {op} DATE '2024-01-16'"
+        for c, e in (("raw", "count(view)"), ("filled", "count(*)")) for s, op in (("train", "<"), ("test", ">=")))),
+)
 def a8(spark, sf):
     root = scratch_path(spark, "a8")
     days = daily(spark, sf)
@@ -101,21 +106,6 @@ def a8(spark, sf):
     return sets.union_named(*parts)
 
 
-@register("a9_run_log")
-def a9(spark, sf):
-    from wardline.operators.agg import classification_metrics
-
-    root = scratch_path(spark, "a9")
-    rows = pred(spark, sf)
-    runs = classification_metrics(rows, "y", "y_pred", ["config", "model_id", "ord"])
-    path = staged.append_predictions(rows, root)
-    log = staged.append_runs(runs, root)
-    counted = spark.read.parquet(path).groupBy("config", "model_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    return spark.read.parquet(log).join(counted, ["config", "model_id"]).select(
-        "config", "model_id", "ord", rounded("fbeta").alias("fbeta"), "n_rows"
-    )
-
-
 METRICS_SQL = (
     "runs AS (SELECT config, model_id, ord, tp, fp, fn, tn, "
     "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, "
@@ -133,6 +123,24 @@ def metrics_sql(body: str) -> str:
     return head.rstrip() + ", " + METRICS_SQL + " " + body
 
 
+@register(
+    "a9_run_log",
+    metrics_sql(f"SELECT config, model_id, ord, {r('fbeta')} AS fbeta, tp + fp + fn + tn AS n_rows FROM runs"),
+)
+def a9(spark, sf):
+    from wardline.operators.agg import classification_metrics
+
+    root = scratch_path(spark, "a9")
+    rows = pred(spark, sf)
+    runs = classification_metrics(rows, "y", "y_pred", ["config", "model_id", "ord"])
+    path = staged.append_predictions(rows, root)
+    log = staged.append_runs(runs, root)
+    counted = spark.read.parquet(path).groupBy("config", "model_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return spark.read.parquet(log).join(counted, ["config", "model_id"]).select(
+        "config", "model_id", "ord", rounded("fbeta").alias("fbeta"), "n_rows"
+    )
+
+
 BEST_COLS = f"model_id, ord, {r('fbeta')} AS fbeta, {r('accuracy')} AS accuracy"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -15,7 +16,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     The mergeable sketch has a rank error of at most one part in ``ACCURACY``, so a bracket that
     adds a few such parts and a few ranks on both sides holds the wanted order statistics. The
-    second pass counts the rows below the bracket and sorts only the distinct values inside it;
+    second pass counts the rows between brackets and sorts only the distinct values inside them;
     nothing else is shuffled.
     """
     by = list(by)
@@ -31,7 +32,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         F.max("v").alias("_max"),
     )
     need = F.lit(4.0 / ACCURACY) + F.lit(4.0) / F.col("_n")
-    brackets = []
+    bounds = []
     for i, p in enumerate(probs):
         low, high = F.col("_min"), F.col("_max")
         for j in reversed(range(len(MARGINS))):
@@ -40,16 +41,31 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 low = F.when(need <= margin, F.col("_q")[at]).otherwise(low)
             if p + margin < 1:
                 high = F.when(need <= margin, F.col("_q")[at + 1]).otherwise(high)
-        at = F.lit(float(p)) * (F.col("_n") - 1)
-        brackets.append(F.struct(F.lit(float(p)).alias("prob"), low.alias("low"), high.alias("high"), at.alias("at")))
-    bracket = sketch.select(*keys, F.array(*brackets).alias("_b"))
-    tagged = long.join(bracket, keys).select(*keys, "v", F.explode("_b").alias("_b")).filter("v <= _b.high")
-    shape = [*keys, F.col("_b.prob").alias("prob"), F.col("_b.at").alias("at")]
-    inner = F.col("v") >= F.col("_b.low")
+        bounds += [low.alias(f"_low{i}"), high.alias(f"_high{i}")]
+    bracket = sketch.select(*keys, "_n", *bounds)
+    carried = [c for c in bracket.columns if c not in keys]
+
+    v, lows = F.col("v"), [F.col(f"_low{i}") for i in range(len(probs))]
+    inside = [v.between(lows[i], F.col(f"_high{i}")) for i in range(len(probs))]
+    above = reduce(lambda a, b: a + b, [(v >= low).cast("int") for low in lows])
+    seen = (
+        long.join(bracket, keys)
+        .select(*keys, *carried, above.alias("_above"), F.when(reduce(lambda a, b: a | b, inside), v).alias("v"))
+        .groupBy(*keys, "_above", "v")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in carried])
+    )
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    cells = [
+        F.struct(F.lit(float(probs[i])).alias("prob"), (F.lit(float(probs[i])) * (F.col("_n") - 1)).alias("at"),
+                 F.when(inside[i], v).alias("v"), (F.col("_above") <= place).alias("below"))
+        for place, i in enumerate(order)
+    ]
     counts = (
-        tagged.select(*shape, F.when(inner, F.col("v")).alias("v"))
+        seen.select(*keys, "n", F.explode(F.array(*cells)).alias("_c"))
+        .select(*keys, "n", "_c.*")
+        .filter("v is not null or below")
         .groupBy(*keys, "prob", "at", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     upto = Window.partitionBy(*keys, "prob").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0
@@ -58,7 +74,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     floor, ceil = F.floor("at"), F.ceil("at")
     holds = lambda pos: (F.col("first") <= pos) & (pos <= F.col("last"))
     ends = placed.filter(holds(floor) | holds(ceil)).groupBy(*keys, "prob", "at").agg(
-        F.max(F.when(holds(floor), F.col("v"))).alias("lo"), F.max(F.when(holds(ceil), F.col("v"))).alias("hi")
+        F.max(F.when(holds(floor), v)).alias("lo"), F.max(F.when(holds(ceil), v)).alias("hi")
     )
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
     return ends.select(*keys, "prob", value.alias("value"))

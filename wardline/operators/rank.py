@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.session import pin_partitions
 
@@ -37,17 +37,27 @@ def with_row_id(df: DataFrame, order_by: Sequence, out: str = "ROW", start: int
     )
 
 
+def bucket_of(value: Column, cuts: Column, levels: int) -> Column:
+    """Number of cuts below a value, by binary search in an ascending array of 2^levels - 1 cuts."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
+    found = F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(F.lit(0))
+    )
+    return F.coalesce(found, F.lit(0))
+
+
 def running_total(counts: DataFrame, group: Sequence[str], value: str, n: str, out: str = "before",
-                  buckets: int = 128) -> DataFrame:
+                  levels: int = 8) -> DataFrame:
     """Rows with a smaller value in the same group, for a table of distinct (group, value, n).
 
-    Each group is cut into buckets at approximate quantiles of its distinct values; a sum per
-    bucket gives the offset, so windows only ever span one bucket.
+    Each group is cut into 2^levels buckets at approximate quantiles of its distinct values; a sum
+    per bucket gives the offset, so windows only ever span one bucket.
     """
     group = list(group)
-    probs = [i / buckets for i in range(1, buckets)]
+    counts = counts.filter(F.col(n) >= 0)  # keeps n in every branch, so that all of them reuse one shuffle
+    probs = [i / (1 << levels) for i in range(1, 1 << levels)]
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, probs, 10_000).alias("_cuts"))
-    placed = counts.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    placed = counts.join(cuts, group).withColumn("_b", bucket_of(F.col(value), F.col("_cuts"), levels)).drop("_cuts")
     totals = placed.groupBy(*group, "_b").agg(F.sum(n).alias("_t"))
     prior = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_b", F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_o"))
@@ -60,9 +70,9 @@ def running_total(counts: DataFrame, group: Sequence[str], value: str, n: str, o
     )
 
 
-def average_ranks(long: DataFrame, group: Sequence[str], value: str, buckets: int = 128) -> DataFrame:
+def average_ranks(long: DataFrame, group: Sequence[str], value: str, levels: int = 8) -> DataFrame:
     """Average rank of each distinct value: table (group, value, n, rank)."""
     counts = long.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_total(counts, group, value, "n", buckets=buckets).withColumn(
+    return running_total(counts, group, value, "n", levels=levels).withColumn(
         "rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     ).drop("before")
