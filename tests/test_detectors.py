@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.models import iforest, tune
 from wardline.models.base import load_model
-from wardline.models.explain import neighbour_deviation, shapley, shapley_summary
+from wardline.models.explain import neighbour_deviation, shapley, shapley_by_table, shapley_summary
 from wardline.models.iforest import IsolationForest
 from wardline.models.lof import LocalOutlierFactor
 from wardline.models.ocsvm import OneClassSVM, fit_many, score_all
@@ -151,6 +151,20 @@ def test_shapley_adds_up(spark):
     assert shapley_summary(hidden, ["b", "c", "d"]).count() == 3
 
 
+def test_shapley_by_table_equals_shapley_in_tasks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, features array<double>")
+    model, cols = IsolationForest(10, 0.1).fit(df), list("abc")
+    a = shapley(model.scorer(), df, df, cols, n_background=4, hide=["c"]).orderBy("row_id").collect()
+    b = shapley_by_table(model, df, df, cols, n_background=4, hide=["c"]).orderBy("row_id").collect()
+    assert np.array([list(r) for r in a]) == pytest.approx(np.array([list(r) for r in b]))
+    lof = LocalOutlierFactor(3, 0.1).fit(df)
+    phi = shapley_by_table(lof, df, df, cols, n_background=3)
+    gap = phi.join(lof.transform(df), "row_id").select(F.abs(F.col("base") + F.col("a") + F.col("b") + F.col("c") + F.col("decision")).alias("g"))
+    assert gap.agg(F.max("g")).first()[0] < 1e-9
+
+
 def test_shapley_of_a_linear_score_is_exact(spark):
     x = np.arange(12.0).reshape(4, 3)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, features array<double>")

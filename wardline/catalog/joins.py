@@ -96,3 +96,19 @@ def c8(spark, sf):
     )
     used = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pid"))
     return J.fill_ids(rows, "pid", used, ["o_orderkey"], seed=7)
+
+
+@register(
+    "c8_fill_ids_summary",
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_null, count(*) FILTER (WHERE o_orderstatus <> 'P') AS n_kept, "
+    "count(*) FILTER (WHERE o_orderstatus = 'P') AS n_new, CAST(0 AS BIGINT) AS n_taken FROM orders",
+)
+def c8_summary(spark, sf):
+    before = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("was"))
+    used = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pid")).distinct().withColumn("used", F.lit(1))
+    rows = c8(spark, sf).join(before, "o_orderkey").join(used, "pid", "left")
+    fresh = F.col("was").isNull()
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("pid").isNull()).alias("n_null"), F.count_if(F.col("pid") == F.col("was")).alias("n_kept"),
+        F.countDistinct(F.when(fresh, F.col("pid"))).alias("n_new"), F.count_if(fresh & F.col("used").isNotNull()).alias("n_taken"),
+    )

@@ -100,6 +100,27 @@ def j4(spark, sf):
     return stats.FactorModel(FEATS, 4).fit(feat(spark, sf)).variance
 
 
+PAIR = ["l_quantity", "l_extendedprice"]
+PAIR_R = "abs(corr(l_quantity, l_extendedprice))"
+
+
+@register(
+    "j3_scree_of_two",
+    f"SELECT 1 AS factor, {r(f'1 + {PAIR_R}')} AS eigenvalue FROM lineitem UNION ALL SELECT 2, {r(f'1 - {PAIR_R}')} FROM lineitem",
+)
+def j3two(spark, sf):
+    return stats.scree(feat(spark, sf), PAIR).withColumn("eigenvalue", rounded("eigenvalue"))
+
+
+@register(
+    "j4_factor_variance_of_two",
+    f"SELECT 1 AS factor, {r(f'1 + {PAIR_R}')} AS ss_loadings, {r(f'(1 + {PAIR_R}) / 2')} AS proportion, {r(f'(1 + {PAIR_R}) / 2')} AS cumulative FROM lineitem",
+)
+def j4two(spark, sf):
+    out = stats.FactorModel(PAIR, 1).fit(feat(spark, sf)).variance
+    return out.select("factor", *[rounded(c).alias(c) for c in ("ss_loadings", "proportion", "cumulative")])
+
+
 @register("j5_factor_rotation")
 def j5(spark, sf):
     rows = feat(spark, sf)

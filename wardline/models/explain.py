@@ -13,10 +13,20 @@ from wardline.models.neighbours import knn_join
 from wardline.operators.quantiles import exact_quantiles
 from wardline.operators.select import sample_n
 from wardline.operators.topk import rank_features
+from wardline.session import cut_lineage, pin_partitions
 
 CELLS_AT_ONCE = 2_000_000
 
 
+def _walks(background: DataFrame, n_background: int, n_perm: int, seed: int) -> tuple[np.ndarray, list[tuple]]:
+    """The background rows and, for each, its random feature orders and their reverses."""
+    sampled = sample_n(background, [ROW_ID], n_background, seed).select(FEATURES).collect()
+    back = np.vstack([r[FEATURES] for r in sampled]).astype(float)
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(back.shape[1]) for _ in range(n_perm * len(back))]
+    return back, [(back[i % len(back)], o) for i, order in enumerate(orders) for o in (order, order[::-1])]
+
+
 def shapley(
     score: Callable[[np.ndarray], np.ndarray],
     df: DataFrame,
@@ -35,12 +45,8 @@ def shapley(
     they stay where they are, and only the bounded background sample travels. ``flip`` turns the
     sign so that larger means stranger; hidden features are left out of the result, not of the sum.
     """
-    sampled = sample_n(background, [ROW_ID], n_background, seed).select(FEATURES).collect()
-    back = np.vstack([r[FEATURES] for r in sampled]).astype(float)
+    back, walks = _walks(background, n_background, n_perm, seed)
     d, sign = back.shape[1], -1.0 if flip else 1.0
-    rng = np.random.default_rng(seed)
-    orders = np.array([rng.permutation(d) for _ in range(n_perm * len(back))])
-    walks = [(b, o) for i, order in enumerate(orders) for b in [back[i % len(back)]] for o in (order, order[::-1])]
     base = sign * float(np.mean(score(back)))
     chunk = max(1, CELLS_AT_ONCE // (d * (d + 1)))
     shown = [i for i, c in enumerate(cols) if c not in hide]
@@ -71,6 +77,53 @@ def shapley(
     return df.select(ROW_ID, FEATURES).mapInPandas(explain, schema)
 
 
+def shapley_by_table(
+    model,
+    df: DataFrame,
+    background: DataFrame,
+    cols: Sequence[str],
+    n_background: int = 100,
+    n_perm: int = 1,
+    seed: int = 42,
+    flip: bool = True,
+    hide: Sequence[str] = (),
+) -> DataFrame:
+    """K8 for models that no task can hold, such as a very large forest or the outlier factor.
+
+    The mixed rows become a table, the model transforms it like any other, and each score counts for
+    the feature that was switched on last and against the one that follows. Same result as
+    ``shapley`` with the model's decision.
+    """
+    back, walks = _walks(background, n_background, n_perm, seed)
+    d, sign = back.shape[1], -1.0 if flip else 1.0
+
+    def mix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.vstack(batch[FEATURES].to_numpy())
+            for b, order in walks:
+                mixed = np.tile(b, (len(x), 1))
+                for stage in range(d + 1):
+                    if stage:
+                        mixed[:, order[stage - 1]] = x[:, order[stage - 1]]
+                    yield pd.DataFrame({
+                        "owner": batch[ROW_ID].to_numpy(), FEATURES: list(mixed.copy()),
+                        "plus": int(order[stage - 1]) if stage else -1, "minus": int(order[stage]) if stage < d else -1,
+                    })
+
+    rows = df.select(ROW_ID, FEATURES).mapInPandas(mix, f"owner bigint, {FEATURES} array<double>, plus int, minus int")
+    rows = pin_partitions(rows).withColumn(ROW_ID, F.monotonically_increasing_id())
+    scored = model.transform(cut_lineage(rows)).select("owner", "plus", "minus", "decision")
+    weight = sign / len(walks)
+    signs = F.array(F.struct(F.col("plus").alias("f"), F.lit(weight).alias("w")), F.struct(F.col("minus").alias("f"), F.lit(-weight).alias("w")))
+    parts = scored.select("owner", "decision", "plus", F.explode(signs).alias("_s"))
+    sums = [F.sum(F.when(F.col("_s.f") == i, F.col("decision") * F.col("_s.w")).otherwise(0.0)).alias(c)
+            for i, c in enumerate(cols) if c not in hide]
+    start = F.sum(F.when((F.col("plus") < 0) & (F.col("_s.f") < 0), F.col("decision") * weight).otherwise(0.0))
+    return parts.groupBy(F.col("owner").alias(ROW_ID)).agg(start.alias("base"), *sums)
+
+
 def shapley_summary(phi: DataFrame, cols: Sequence[str]) -> DataFrame:
     """K9: per feature mean absolute attribution and quartiles."""
     long = phi.select(*cols).unpivot([], list(cols), "feature", "v")

@@ -25,6 +25,9 @@ def build_session(app: str = "wardline", cores: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+_LOCAL_ROOT: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -36,9 +39,9 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="wardline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="wardline-"))
+    return _LOCAL_ROOT[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
