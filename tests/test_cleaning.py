@@ -82,6 +82,13 @@ def test_sample_does_not_depend_on_partitioning(spark):
     assert a == {r[0] for r in S.sample_n(df.repartition(8), ["id"], 50, 3).collect()} and len(a) == 50
 
 
+def test_sample_with_known_total_is_the_same(spark):
+    df = spark.range(20_000)
+    for n in (1, 50, 19_999, 30_000):
+        a = {r[0] for r in S.sample_n(df, ["id"], n, 3).collect()}
+        assert a == {r[0] for r in S.sample_n(df, ["id"], n, 3, total=20_000).collect()} and len(a) == min(n, 20_000)
+
+
 def test_missing_feature_is_an_error(spark):
     with pytest.raises(ValueError):
         S.align(spark.range(1), ["x"])
