@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from wardline.llm import langid, mixing, token_counts, token_files, url_filter
+from wardline.llm import langid, mixing, near_duplicates, token_counts, token_files, url_filter
 from wardline.llm.common import Query
 
 QUERIES: dict[str, Query] = {
     "op1_url_filter": url_filter.op1,
     "op2_token_counts": token_counts.op2,
     "op3_language_id": langid.op3,
+    "op4_ngram_jaccard": near_duplicates.op4,
     "op5_source_mixing": mixing.op5,
     "op9_token_files": token_files.op9,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
+    "op4_ngram_jaccard": near_duplicates.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
 }
