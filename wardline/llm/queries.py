@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import langid, mixing, near_duplicates, token_counts, token_files, url_filter
+from wardline.llm import decontamination, embedding_dedup, langid, mixing, near_duplicates, token_counts, token_files, url_filter
 from wardline.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -11,10 +11,14 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": langid.op3,
     "op4_ngram_jaccard": near_duplicates.op4,
     "op5_source_mixing": mixing.op5,
+    "op6_embedding_dedup": embedding_dedup.op6,
+    "op7_decontamination": decontamination.op7,
     "op9_token_files": token_files.op9,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
     "op4_ngram_jaccard": near_duplicates.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
 }
