@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import decontamination, embedding_dedup, langid, mixing, near_duplicates, token_counts, token_files, url_filter
+from wardline.llm import decontamination, embedding_dedup, html_text, langid, mixing, near_duplicates, token_counts, token_files, url_filter, warc
 from wardline.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -13,7 +13,9 @@ QUERIES: dict[str, Query] = {
     "op5_source_mixing": mixing.op5,
     "op6_embedding_dedup": embedding_dedup.op6,
     "op7_decontamination": decontamination.op7,
+    "op8_warc": warc.op8,
     "op9_token_files": token_files.op9,
+    "op10_html_text": html_text.op10,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
