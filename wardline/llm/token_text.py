@@ -21,6 +21,9 @@ from wardline.llm.word_table import Growing, WordIndex
 #: Lower-case letters for which lower-casing and composition change nothing, then ASCII marks.
 _PLAIN = re.compile(r"([a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?#$%&*]*)")
 
+#: Letter runs and marks held per process.
+PARTS = 100_000
+
 
 def _byte_letters() -> list[str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
@@ -46,6 +49,8 @@ class Encoder:
     def part(self, text: str) -> list[int]:
         ids = self.parts.get(text)
         if ids is None:
+            if len(self.parts) > PARTS:
+                self.parts.clear()
             ids = self.parts[text] = [t.id for t in self.model.tokenize("".join(self.letters[b] for b in text.encode()))]
         return ids
 
