@@ -255,10 +255,9 @@ def texts(pages: DataFrame, column: str = "html", text: str = "text", n_chars: s
     """All columns of pages, with the main text of the whole html and its number of code points added.
 
     Null and empty html, and a page without article text, give the empty text and 0. Repeated rows get
-    equal answers. A page is one unit of work: memory holds one page's blocks at a time.
+    equal answers; columns of pages named like the added ones are replaced. A page is one unit of work: memory holds one page's blocks at a time.
     """
-    if {text.lower(), n_chars.lower()} & {c.lower() for c in pages.columns}:
-        raise ValueError(f"pages has a column named {text} or {n_chars} already")
+    pages = pages.drop(*({text, n_chars} - {column}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

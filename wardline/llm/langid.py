@@ -264,10 +264,10 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text",
     """All columns of docs, with the predicted language and its posterior added.
 
     Null text, and text without a letter (so also the empty one), is ``und`` with score 0. Equal scores go
-    to the language that sorts first. Repeated rows get equal answers; an empty table stays empty.
+    to the language that sorts first. Repeated rows get equal answers; an empty table stays empty; columns of
+    docs named like the added ones are replaced.
     """
-    if {lang.lower(), score.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs has a column named {lang} or {score} already")
+    docs = docs.drop(lang, score)
     schema = docs.select("*", F.lit("").alias(lang), F.lit(0.0).alias(score)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

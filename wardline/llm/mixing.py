@@ -146,12 +146,11 @@ def _by_source(values: dict, kind: str) -> Column:
 def mix(docs: DataFrame, target: Target, block: str = "block", n_tokens: Column | None = None) -> DataFrame:
     """Every document as often as the mixture reads it, with the number of the block added.
 
-    Columns of docs stay as they are. Documents without tokens belong to every block of their source's
+    Columns of docs stay as they are, but one named like ``block`` is replaced. Documents without tokens belong to every block of their source's
     permutation like others. A null or empty text has 0 tokens; an empty table, or one without tokens,
     gives no rows. Rows of equal doc_id (null ids too) are taken or left together.
     """
-    if block.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"docs has a column named {block} already")
+    docs = docs.drop(block)
     tokens = n_words(F.col("text")) if n_tokens is None else n_tokens
     rows = plan(docs.select("doc_id", "source", tokens.alias("n_tokens")), target)
     key, at = private_names(docs, ["_source", "_plan"])

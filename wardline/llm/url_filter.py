@@ -141,11 +141,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     ``rules``: (host, path, verdict), verdict being allow or block. A rule fits its host and all its
     subdomains where the url's path starts with the rule's; the longest fitting rule wins, else ``default``
     holds. A null url, or one without ``://``, has empty host and path and fits no rule. Repeated rows get
-    equal answers. Columns of pages named like the four added ones are an error.
+    equal answers. Columns of pages named like the four added ones are replaced.
     """
-    clash = {"host", "path", "rule", "verdict"} & {c.lower() for c in pages.columns}
-    if clash:
-        raise ValueError(f"pages has columns named {sorted(clash)} already")
+    pages = pages.drop("host", "path", "rule", "verdict")
     host, path = split_url(F.col(url))
     kinds = shapes(rules)
     parts = pages.withColumns({"host": host, "path": path})

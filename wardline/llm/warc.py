@@ -246,9 +246,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int =
     return cut_lineage(kind.mapInArrow(run, "path string, n_records bigint"))
 
 
-def _page(name: str) -> int | None:
-    found = name.strip("<>").removeprefix("urn:page:")
-    return None if found == "null" else int(found)
+def _page(name: str | None) -> int | None:
+    """The page id in a record name; null for names this writer does not give."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", name or "")
+    return int(found[1]) if found else None
 
 
 def read(paths: DataFrame) -> DataFrame:
@@ -263,11 +264,12 @@ def read(paths: DataFrame) -> DataFrame:
         if isinstance(found, Gap):
             return path, found.offset, found.length, None, None, None, None, None, found.reason
         h = found.headers
-        http, body = found.http()
-        revisit = h.get("warc-type") == "revisit"
-        size = int(http.get("content-length", len(body))) if revisit else len(body)
-        return (path, found.offset, found.length, _page(h["warc-record-id"]), size, h["warc-payload-digest"].removeprefix("sha1:"),
-                h.get("warc-type"), _page(h["warc-refers-to"]) if revisit else None, None)
+        revisit, size = h.get("warc-type") == "revisit", len(found.block)
+        if h.get("content-type", "").startswith("application/http"):
+            http, body = found.http()
+            size = int(http["content-length"]) if revisit and http.get("content-length", "").isdigit() else len(body)
+        return (path, found.offset, found.length, _page(h.get("warc-record-id")), size, h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                h.get("warc-type"), _page(h.get("warc-refers-to")) if revisit else None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
