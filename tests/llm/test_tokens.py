@@ -26,6 +26,11 @@ def test_encoder_equals_the_library():
     assert [list(got[bounds[i] : bounds[i + 1]]) for i in range(len(TEXTS))] == ids(TEXTS)
 
 
+def test_counts_of_many_new_words():
+    text = " ".join(f"word{i}" for i in range(20_000))
+    assert list(Encoder(PATH).counts(pa.array([text, None]))) == [len(ids([text])[0]), 0]
+
+
 def test_files_hold_every_document_in_order(spark):
     docs = spark.createDataFrame([(i - 5, t, 1) for i, t in enumerate(TEXTS)] + [(None, "n", 2)], "doc_id bigint, text string, start int")
     got = sorted(map(tuple, T.encode_and_read(spark, docs).collect()), key=lambda r: (r[0] is not None, r[0]))

@@ -88,7 +88,8 @@ class Encoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Ids per text."""
         words = Words(texts, lower=False)
-        ends = np.concatenate([[0], np.cumsum(self.size.data[self.index.rows(words)])])
+        row = self.index.rows(words)  # before the table is read: new words make it grow
+        ends = np.concatenate([[0], np.cumsum(self.size.data[row])])
         return np.diff(ends[words.bounds])
 
 
