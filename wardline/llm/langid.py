@@ -6,7 +6,7 @@ score is the sum of the logarithms over its words, and the posterior over the la
 follows. Piece probabilities are learned by expectation-maximisation, whose expected counts come from the
 forward and backward sums.
 
-Words are lower-cased and white-space separated, and start with the vocabulary's word mark. Any single
+Words are lower-cased runs of characters between ASCII characters that are no letters, and start with the vocabulary's word mark. Any single
 character can stand as an unknown piece, so each text has a score.
 """
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm.common import cut_lineage, private_names, table
-from wardline.llm.shingles import Words, slices
+from wardline.llm.shingles import LETTER_RUNS, Words, slices
 from wardline.llm.word_table import RowTable
 
 MARK = "▁"
@@ -59,29 +59,71 @@ def vocabulary(path: str) -> tuple[dict[str, int], int, int]:
     return _VOCABULARIES[path]
 
 
+_STEP, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 20
+_TURNS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+class PieceTable:
+    """Piece ids by a rolling hash of their characters: two slot tables, the second for keys whose slot is taken."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.keys, self.ids = np.zeros((2, 1 << _SLOT_BITS), np.uint64), np.zeros((2, 1 << _SLOT_BITS), np.int64)
+        for text, number in ids.items():
+            whole = 0
+            for c in text:
+                whole = (whole * int(_STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            h = np.array([whole], np.uint64)
+            for k in range(2):
+                slot = self.slots(h, k)[0]
+                if self.keys[k, slot] == 0:
+                    self.keys[k, slot], self.ids[k, slot] = h[0], number
+                    break
+            else:
+                raise RuntimeError("two pieces share both slots")
+
+    @staticmethod
+    def slots(h: np.ndarray, k: int) -> np.ndarray:
+        return (h * _TURNS[k] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces' ids, -1 for no piece."""
+        out = np.full(len(h), -1, np.int64)
+        for k in range(2):
+            slot = self.slots(h, k)
+            out = np.where(self.keys[k, slot] == h, self.ids[k, slot], out)
+        return out
+
+
+_PIECES: dict[str, PieceTable] = {}
+
+
 def edges(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All pieces in all words: (word, begin, end, piece id) ordered by end and word, and the words' lengths."""
     ids, longest, _ = vocabulary(path)
-    get = ids.get
-    word, begin, end, piece, length = [], [], [], [], []
-    for w, text in enumerate(words):
-        text = MARK + text
-        n = len(text)
-        length.append(n)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                found = get(text[i:j])
-                if found is None:
-                    if j - i > 1:
-                        continue
-                    found = UNKNOWN
-                word.append(w)
-                begin.append(i)
-                end.append(j)
-                piece.append(found)
-    cols = [np.array(c, np.int64) for c in (word, begin, end, piece)]
-    order = np.lexsort((cols[0], cols[2]))
-    return *(c[order] for c in cols), np.array(length, np.int64)
+    if path not in _PIECES:
+        _PIECES[path] = PieceTable(ids)
+    texts = [MARK + word for word in words]
+    length = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    word = np.repeat(np.arange(len(texts)), length)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+    left = length[word] - place
+    alive, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+    for size in range(1, longest + 1):
+        fits = left[alive] >= size
+        alive = alive[fits]
+        if not len(alive):
+            break
+        h = h[fits] * _STEP + codes[alive + size - 1]
+        piece = _PIECES[path].find(h)
+        if size == 1:
+            piece[piece < 0] = UNKNOWN
+        hit = piece >= 0
+        at = alive[hit]
+        found.append((word[at], place[at], place[at] + size, piece[hit]))
+    cols = [np.concatenate(c) for c in zip(*found)]
+    order = np.argsort(cols[2] * len(texts) + cols[0], kind="stable")
+    return *(c[order] for c in cols), length
 
 
 def _sum_runs(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +230,7 @@ def fit(docs: DataFrame, vocabulary_path: str, docs_per_lang: int = 600, rounds:
             for lang in pc.unique(batch["lang"]):
                 texts = batch["text"].filter(pc.equal(batch["lang"], lang))
                 for i, j in slices(texts):
-                    words = Words(texts.slice(i, j - i))
+                    words = Words(texts.slice(i, j - i), separators=LETTER_RUNS)
                     _, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
                     names = [words.word(k) for k in first]
                     yield pa.RecordBatch.from_arrays(
@@ -244,7 +286,7 @@ def judge(texts: pa.Array, model: LanguageModel | None) -> tuple[pa.Array, pa.Ar
     if lettered.any():
         rows = _scores(model)
         for i, j in slices(texts):
-            words = Words(texts.slice(i, j - i))
+            words = Words(texts.slice(i, j - i), separators=LETTER_RUNS)
             if not len(words.hashes):
                 continue
             full = np.flatnonzero(np.diff(words.bounds) > 0)

@@ -23,6 +23,8 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of letter runs: every ASCII character that is no letter.
+LETTER_RUNS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -50,7 +52,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word hashes of some texts: ``hashes``, and ``bounds`` so that text i has hashes[bounds[i]:bounds[i+1]]."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, separators: np.ndarray = _IS_SPACE):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if lower:
             texts = pc.utf8_lower(texts)
@@ -58,7 +60,7 @@ class Words:
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        space = _IS_SPACE[raw]
+        space = separators[raw]
         begins = ~space
         begins[1:] &= space[:-1]
         cuts = offsets[1:-1]
