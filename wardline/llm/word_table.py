@@ -9,7 +9,7 @@ import numpy as np
 from wardline.llm.shingles import Words
 
 #: Words held per process; a full table is emptied and filled anew, which only costs time.
-LIMIT = 400_000
+LIMIT = 250_000
 _SLOT_BITS = 20
 
 
