@@ -98,3 +98,9 @@ def test_file_safe_id(spark):
     text = "Isolation Forest (n_estimators=50, contamination=0.2, max_samples=0.5)"
     got = spark.createDataFrame([(text,)], "t string").select(W.file_safe("t")).first()[0]
     assert got == "Isolation_Forest_n_estimators-50_contamination-0.2_max_samples-0.5"
+
+
+def test_censored_text_is_read_to_its_end(spark):
+    text = "<" + "0" * 1_200_000 + "5"
+    row = spark.createDataFrame([(text,)], "v string").select(W.clean_censored("v").alias("n")).first()
+    assert row["n"] == 5.0

@@ -178,3 +178,9 @@ def test_neighbour_deviation_names_the_odd_feature(spark):
     df = spark.createDataFrame(data, "row_id bigint, a double, b double")
     first = neighbour_deviation(df.filter("row_id = 99"), df, ["a", "b"], 5, exclude_self=True).filter("rank = 1").first()
     assert first["feature"] == "b" and first["deviation"] > 400
+
+
+def test_draws_reach_the_sample_size_on_very_large_tables():
+    for n in (300, 10**6, 10**12, 10**15):
+        share = iforest.draw_bar(n, 256) / iforest.HASH_SPACE
+        assert 256 <= share * n * (1 + 1e-9) < 257

@@ -26,7 +26,7 @@ def clean_censored(col: Column | str, mode: str = "limit") -> Column:
     and null otherwise. Text made of letters only is null in both.
     """
     c = _col(col)
-    rest = F.substring(c, 2, 1_000_000)
+    rest = F.substr(c, F.lit(2))
     if mode == "limit":
         censored = to_number(rest)
     elif mode == "int_minus_one":
