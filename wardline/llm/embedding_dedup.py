@@ -34,6 +34,7 @@ ROUNDS = 3
 BLOCK = 512
 #: Half the spill zone, in standard deviations of the projected distance of two points at the threshold.
 SPILL = 0.8
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def directions(dim: int, tree: int, group: int, depth: int) -> np.ndarray:
@@ -131,43 +132,51 @@ def grow(points: DataFrame, round_no: int, threshold: float, trees: int, sample:
     return loaded.mapInPandas(walk, "id bigint, group bigint, tree int, leaf bigint")
 
 
-def leaf_pairs(lo: int, hi: int, frame: pd.DataFrame, threshold: float, rank: int) -> pd.DataFrame:
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A row of codes per point, filled up with -1 at the end."""
+    column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(column), sizes.max(initial=1)), -1, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def leaf_pairs(lo: int, hi: int, rows: pa.Table, threshold: float, rank: int) -> pa.Table:
     """Links between two blocks of a leaf: per point the other vectors linked, and forest links."""
-    empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
-    block = frame["block"].to_numpy()
-    rows, cols = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    if not len(rows) or not len(cols):
+    empty = LINKS.empty_table()
+    block = rows["block"].to_numpy()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    if not len(left) or not len(right):
         return empty
-    m = _matrix(frame["v"])
-    linked = m[rows] @ m[cols].T >= threshold
+    m = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    linked = m[left] @ m[right].T >= threshold
     if lo == hi:
         linked = np.triu(linked, 1)
     i, j = np.nonzero(linked)
-    i, j = rows[i], cols[j]
     if not len(i):
         return empty
+    i, j = left[i], right[j]
     # A pair counts in the first leaf (of all trees and rounds) that both points are in.
-    codes = [np.asarray(c) for c in frame["codes"]]
-    width = max(map(len, codes))
-    padded = np.stack([np.pad(np.sort(c), (0, width - len(c)), constant_values=-1) for c in codes])
+    codes = _codes(rows["codes"])
     fresh = np.ones(len(i), bool)
     for at in range(0, len(i), 4096):
         s = slice(at, at + 4096)
-        left, right = padded[i[s]], padded[j[s]]
-        same = (left[:, :, None] == right[:, None, :]) & (left[:, :, None] >= 0)
-        first = np.where(same.any(axis=2), left, np.iinfo(np.int64).max).min(axis=1)
+        one, two = codes[i[s]], codes[j[s]]
+        same = (one[:, :, None] == two[:, None, :]) & (one[:, :, None] >= 0)
+        first = np.where(same.any(axis=2), one, np.iinfo(np.int64).max).min(axis=1)
         fresh[s] = first == rank
     i, j = i[fresh], j[fresh]
     if not len(i):
         return empty
-    ids, members = frame["id"].to_numpy(), frame["members"].to_numpy()
+    ids, members = rows["id"].to_numpy(), rows["members"].to_numpy()
     n = np.bincount(i, members[j], len(ids)) + np.bincount(j, members[i], len(ids))
     counted, tree = np.flatnonzero(n), forest(i, j, len(ids))
-    return pd.DataFrame({
-        "a": np.concatenate([ids[counted], ids[i[tree]]]),
-        "b": np.concatenate([ids[counted], ids[j[tree]]]),
-        "n": np.concatenate([n[counted].astype(np.int64), np.zeros(int(tree.sum()), np.int64)]),
-    })
+    return pa.table([
+        np.concatenate([ids[counted], ids[i[tree]]]),
+        np.concatenate([ids[counted], ids[j[tree]]]),
+        np.concatenate([n[counted].astype(np.int64), np.zeros(int(tree.sum()), np.int64)]),
+    ], schema=LINKS)
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, sample: int = SAMPLE,
@@ -208,10 +217,10 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
     units = units.select("id", "code", own, F.col("unit.lo").alias("lo"), F.col("unit.hi").alias("hi"))
     loaded = units.join(classes.select("id", "v", "members").join(codes, "id"), "id")
 
-    def unit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return leaf_pairs(int(key[1]), int(key[2]), frame, threshold, int(key[0]))
+    def unit(key, rows):
+        return leaf_pairs(key[1].as_py(), key[2].as_py(), rows, threshold, key[0].as_py())
 
-    found = cut_lineage(loaded.groupBy("code", "lo", "hi").applyInPandas(unit, "a bigint, b bigint, n bigint"))
+    found = cut_lineage(loaded.groupBy("code", "lo", "hi").applyInArrow(unit, "a bigint, b bigint, n bigint"))
     links = found.filter("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
     heads = cut_lineage(components(found.filter("a != b").select("a", "b")))
     known = (
