@@ -132,13 +132,17 @@ def grow(points: DataFrame, round_no: int, threshold: float, trees: int, sample:
     return loaded.mapInPandas(walk, "id bigint, group bigint, tree int, leaf bigint")
 
 
-def _codes(column: pa.ChunkedArray) -> np.ndarray:
-    """A row of codes per point, filled up with -1 at the end."""
+def _earlier(column: pa.ChunkedArray, rank: int) -> np.ndarray:
+    """Per row a set of bits, one for each code below ``rank`` that two or more of the rows hold."""
     column = column.combine_chunks()
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    out = np.full((len(column), sizes.max(initial=1)), -1, np.int64)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
-    return out
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    codes = column.flatten().to_numpy(zero_copy_only=False)
+    below = codes < rank
+    _, place, times = np.unique(codes[below], return_inverse=True, return_counts=True)
+    shared = times[place] > 1
+    held = np.zeros((len(column), int((times > 1).sum())), bool)
+    held[rows[below][shared], (np.cumsum(times > 1) - 1)[place[shared]]] = True
+    return np.packbits(held, axis=1)
 
 
 def leaf_pairs(lo: int, hi: int, rows: pa.Table, threshold: float, rank: int) -> pa.Table:
@@ -158,14 +162,12 @@ def leaf_pairs(lo: int, hi: int, rows: pa.Table, threshold: float, rank: int) ->
         return empty
     i, j = left[i], right[j]
     # A pair counts in the first leaf (of all trees and rounds) that both points are in.
-    codes = _codes(rows["codes"])
+    bits = _earlier(rows["codes"], rank)
     fresh = np.ones(len(i), bool)
-    for at in range(0, len(i), 4096):
-        s = slice(at, at + 4096)
-        one, two = codes[i[s]], codes[j[s]]
-        same = (one[:, :, None] == two[:, None, :]) & (one[:, :, None] >= 0)
-        first = np.where(same.any(axis=2), one, np.iinfo(np.int64).max).min(axis=1)
-        fresh[s] = first == rank
+    step = max(1, (1 << 23) // max(1, bits.shape[1]))
+    for at in range(0, len(i), step):
+        s = slice(at, at + step)
+        fresh[s] = ~(bits[i[s]] & bits[j[s]]).any(axis=1)
     i, j = i[fresh], j[fresh]
     if not len(i):
         return empty
