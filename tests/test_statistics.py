@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.models import stats
-from wardline.operators import agg, rank
+from wardline.operators import agg, quantiles, rank
 from wardline.operators.quantiles import exact_quantiles
 
 
@@ -28,6 +28,30 @@ def test_quantiles(skewed, probs):
             assert got[name, p] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
+@pytest.mark.parametrize("few", [3, 200])
+def test_quantiles_by_narrowing_passes(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    draws = np.random.default_rng(3)
+    hot = [1.0] * 4000 + draws.normal(size=1500).tolist()
+    steps = draws.integers(0, 4, 5500).astype(float).tolist()
+    rows = [(h, s, None) for h, s in zip(hot, steps)] + [(None, float("nan"), float("nan"))]
+    df = spark.createDataFrame(rows, "hot double, steps double, none double").repartition(7)
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = {(r["feature"], r["prob"]): r["value"] for r in exact_quantiles(df, ["hot", "steps", "none"], probs).collect()}
+    assert {f for f, _ in got} == {"hot", "steps"}  # no row for a column without values
+    for name, values in (("hot", hot), ("steps", steps)):
+        for p in probs:
+            assert got[name, p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+def test_misplaced_bounds_narrow_the_search_too(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    monkeypatch.setattr(quantiles._Cell, "probs", lambda self: [0.9])
+    df = spark.range(2000).select(F.col("id").cast("double").alias("x"))
+    monkeypatch.setattr(quantiles, "PASS_ACCURACY", 50)
+    assert exact_quantiles(df.limit(60), ["x"], [0.5]).first()["value"] == 29.5
+
+
 def test_quantiles_by_group_and_tiny_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 7.0), ("b", None)], "g string, x double")
     got = {r["g"]: r["value"] for r in exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}

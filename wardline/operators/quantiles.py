@@ -1,25 +1,145 @@
-"""Exact quantiles for large groups: a sketch brackets the answer, a second pass settles it."""
+"""Exact quantiles for large tables and groups: sketches bracket the answer, later passes settle it."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 100_000
 MARGINS = (1e-4, 1e-3, 1e-2, 1e-1)
+#: Accuracy of one narrowing pass over the whole table, and the rows between its bounds from which on they are sorted.
+PASS_ACCURACY = 1_000
+FEW = 50_000
+
+
+@dataclass
+class _Cell:
+    """The value of rank ``k`` in a column: it is ``low``, ``high`` or one of the ``upto - after`` rows between them."""
+
+    col: str
+    k: int
+    upto: int
+    low: float | None = None
+    high: float | None = None
+    after: int = 0
+
+    @property
+    def value(self) -> float | None:
+        if self.low is not None and self.k < self.after:
+            return self.low
+        return self.high if self.high is not None and self.k >= self.upto else None
+
+    def between(self, v: Column) -> Column:
+        kept = F.lit(True) if self.low is None else v > self.low
+        return kept if self.high is None else kept & (v < self.high)
+
+    def probs(self) -> list[float]:
+        """Edges that enclose the rank among the rows between, by the error of a sketch."""
+        rows = self.upto - self.after
+        at, margin = (self.k - self.after + 0.5) / rows, 2.0 / PASS_ACCURACY
+        return [max(0.0, at - margin), min(1.0, at + margin)]
+
+    def narrow(self, edge: float, below: int, including: int) -> None:
+        """Take a value as a bound, given the rows below it and those up to and including it."""
+        if self.k >= below and (self.low is None or edge > self.low):
+            self.low, self.after = edge, including
+        if self.k < including and (self.high is None or edge < self.high):
+            self.high, self.upto = edge, below
+
+
+def _value(col: str) -> Column:
+    v = F.col(f"`{col}`").cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _settle(df: DataFrame, cells: Iterable[_Cell]) -> dict[tuple[str, int], float]:
+    """The values of cells with few rows between their bounds: those rows alone are shuffled and sorted."""
+    cells = list(cells)
+    if not cells:
+        return {}
+    hits = [F.when(c.between(_value(c.col)), F.struct(F.lit(i).alias("cell"), _value(c.col).alias("v"))) for i, c in enumerate(cells)]
+    rows = df.select(F.explode(F.array_compact(F.array(*hits))).alias("_h")).select("_h.*").filter("v is not null")
+    counts = rows.groupBy("cell", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    want = F.element_at(F.array(*[F.lit(c.k - c.after).cast("bigint") for c in cells]), F.col("cell") + 1)
+    placed = counts.withColumn("last", F.sum("n").over(upto)).withColumn("want", want)
+    found = placed.filter("want < last and want >= last - n").select("cell", "v").collect()
+    return {(cells[r["cell"]].col, cells[r["cell"]].k): r["v"] for r in found}
+
+
+def _edges(df: DataFrame, cells: Sequence[_Cell]) -> list[tuple[str, float]]:
+    """(column, value) of new bounds: values of the table, strictly between the bounds so far. Cells between the same bounds share a sketch."""
+    spans: dict[tuple, list[_Cell]] = {}
+    for c in cells:
+        spans.setdefault((c.col, c.low, c.high), []).append(c)
+    if not spans:
+        return []
+    sketches = [
+        F.percentile_approx(F.when(g[0].between(_value(g[0].col)), _value(g[0].col)), sorted({p for c in g for p in c.probs()}), PASS_ACCURACY)
+        for g in spans.values()
+    ]
+    drawn = df.agg(*[s.alias(str(i)) for i, s in enumerate(sketches)]).first()
+    return sorted({(name, e) for i, (name, _, _) in enumerate(spans) for e in drawn[i]})
+
+
+def _order_statistics(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[tuple[float, float]]]:
+    """(prob, value) per column that has values."""
+    margin = 2.0 / PASS_ACCURACY
+    start = sorted({e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))})
+    first = df.agg(
+        *[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(_value(c), start, PASS_ACCURACY).alias(f"e{i}") for i, c in enumerate(cols)],
+    ).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(cols) if first[f"n{i}"]}
+    edges = sorted({(c, e) for i, c in enumerate(cols) if sizes.get(c, 0) > FEW for e in first[f"e{i}"]})
+    at = {c: [p * (n - 1) for p in probs] for c, n in sizes.items()}
+    cells = {(c, k): _Cell(c, k, sizes[c]) for c in sizes for a in at[c] for k in (math.floor(a), math.ceil(a))}
+    while wide := [c for c in cells.values() if c.value is None and c.upto - c.after > FEW]:
+        tallies = []
+        for i, (name, e) in enumerate(edges):
+            tallies += [F.count_if(_value(name) < e).alias(f"b{i}"), F.count_if(_value(name) <= e).alias(f"i{i}")]
+        counted = df.agg(*tallies).first()
+        for i, (name, e) in enumerate(edges):
+            for c in wide:
+                if c.col == name:
+                    c.narrow(e, counted[f"b{i}"], counted[f"i{i}"])
+        edges = _edges(df, [c for c in wide if c.value is None and c.upto - c.after > FEW])
+    values = _settle(df, [c for c in cells.values() if c.value is None])
+    values |= {key: c.value for key, c in cells.items() if c.value is not None}
+    out = {}
+    for c in sizes:
+        out[c] = []
+        for p, a in zip(probs, at[c]):
+            lo, hi = values[c, math.floor(a)], values[c, math.ceil(a)]
+            out[c].append((float(p), lo if lo == hi else lo + (hi - lo) * (a - math.floor(a))))
+    return out
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles: table (by…, feature, prob, value).
+    """Linearly interpolated quantiles: table (by…, feature, prob, value). A feature without values has no row.
+
+    Without ``by`` the jobs run at once. Each pass draws bounds for the wanted order statistics from a coarse
+    sketch and counts the rows around them exactly, so a bound that the sketch misplaces still narrows the
+    search; once few rows lie between the bounds, only they are shuffled and sorted. The driver gets a few
+    numbers per feature and probability.
 
-    The mergeable sketch has a rank error of at most one part in ``ACCURACY``, so a bracket that
-    adds a few such parts and a few ranks on both sides holds the wanted order statistics. The
-    second pass counts the rows between brackets and sorts only the distinct values inside them;
-    nothing else is shuffled.
+    With ``by`` the sketch per group has a rank error of at most one part in ``ACCURACY``, so a bracket that
+    adds a few such parts and a few ranks on both sides holds the wanted order statistics. The second pass
+    joins the brackets to the rows by group and feature, counts the rows between brackets and sorts only the
+    distinct values inside them.
     """
     by = list(by)
+    if not by:
+        found = [
+            F.struct(F.lit(c).alias("feature"), F.lit(p).alias("prob"), F.lit(v).alias("value"))
+            for c, pairs in _order_statistics(df, cols, probs).items() for p, v in pairs
+        ]
+        empty = F.array().cast("array<struct<feature:string,prob:double,value:double>>")
+        return df.sparkSession.range(1).select(F.inline(F.array(*found) if found else empty))
     longs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols]))
     long = df.select(*by, longs.alias("_e")).select(*by, "_e.feature", "_e.v")
     long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
