@@ -162,16 +162,13 @@ def d17(spark, sf):
     return A.corr_matrix(feat(spark, sf), FEATS).withColumn("r", rounded("r"))
 
 
-SPEARMAN = ["l_quantity", "l_discount", "l_tax"]
-
-
 @register(
     "d18_corr_spearman",
-    "WITH t AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in SPEARMAN)
-    + " FROM lineitem) " + _pairs(SPEARMAN, lambda a, b: f"corr({a}, {b})"),
+    "WITH t AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in FEATS)
+    + " FROM lineitem) " + _pairs(FEATS, lambda a, b: f"corr({a}, {b})"),
 )
 def d18(spark, sf):
-    return A.corr_matrix(feat(spark, sf), SPEARMAN, "spearman", FEAT_KEYS).withColumn("r", rounded("r"))
+    return A.corr_matrix(feat(spark, sf), FEATS, "spearman", FEAT_KEYS).withColumn("r", rounded("r"))
 
 
 @register(

@@ -133,8 +133,8 @@ def a9(spark, sf):
     root = scratch_path(spark, "a9")
     rows = pred(spark, sf)
     runs = classification_metrics(rows, "y", "y_pred", ["config", "model_id", "ord"])
-    path = staged.append_predictions(rows, root)
-    log = staged.append_runs(runs, root)
+    path = staged.log_predictions(rows, root)
+    log = staged.log_runs(runs, root)
     counted = spark.read.parquet(path).groupBy("config", "model_id").agg(F.count(F.lit(1)).alias("n_rows"))
     return spark.read.parquet(log).join(counted, ["config", "model_id"]).select(
         "config", "model_id", "ord", rounded("fbeta").alias("fbeta"), "n_rows"

@@ -63,9 +63,8 @@ def mann_whitney(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     def two_sided(values):
         return values.map(lambda x: math.erfc(x / math.sqrt(2.0)), na_action="ignore").astype("float64")
 
-    wide = a.select(*cols, F.lit("a").alias("_s")).unionByName(b.select(*cols, F.lit("b").alias("_s")))
-    medians = exact_quantiles(wide, cols, [0.5], ["_s"]).groupBy("feature").agg(
-        *[F.max(F.when(F.col("_s") == side, F.col("value"))).alias(f"median_{side}") for side in ("a", "b")])
+    medians = exact_quantiles(a, cols, [0.5]).select("feature", F.col("value").alias("median_a")).join(
+        exact_quantiles(b, cols, [0.5]).select("feature", F.col("value").alias("median_b")), "feature", "full")
     out = sums.select("feature", u.alias("u"), F.coalesce(two_sided(z), F.lit(1.0)).alias("p"))
     return out.join(medians, "feature").orderBy("p", "feature")
 
