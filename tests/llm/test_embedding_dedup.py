@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from test_shingle_operators import union_find
 from wardline.llm import embedding_dedup as E
@@ -50,3 +51,12 @@ def test_odd_tables(spark):
     one = spark.createDataFrame([(5, [1.0, 2.0], 1), (None, [1.0, 2.0], 1)], kind)
     assert sorted(map(str, E.dedup(one).collect())) == sorted(map(str, [
         E.dedup(one).filter("vec_id = 5").first(), E.dedup(one).filter("vec_id IS NULL").first()]))
+
+
+def test_a_pair_counts_in_its_first_shared_leaf_only():
+    codes = [[5, 9], [5, 9, 2], [2, 9], [9] + list(range(100, 140)), [9, 1]]
+    bits = E._earlier(pa.chunked_array([codes[:2], codes[2:]], pa.list_(pa.int64())), 9)
+    for i, one in enumerate(codes):
+        for j, two in enumerate(codes):
+            if i != j:
+                assert (bits[i] & bits[j]).any() == any(c < 9 for c in set(one) & set(two))
