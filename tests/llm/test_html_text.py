@@ -46,3 +46,25 @@ def test_table_with_clashing_columns(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in H.texts(pages).collect()}
     assert got == {1: ("x", 1), 2: ("", 0)}
     assert H.texts(pages.limit(0)).count() == 0
+
+
+def test_all_sections_of_an_article_are_kept():
+    short, long = LONG.strip(), (LONG * 3).strip()
+    for whole in ("article", "div"):
+        page = f"<body><{whole}><h1>Title</h1><section><p>{long}</p></section><section><p>{short}</p></section></{whole}><footer>x</footer></body>"
+        assert H.extract(page) == f"Title\n{long}\n{short}"
+    for part in ("div", "ul", "blockquote", "table"):
+        page = f"<body><article><h1>Title</h1><{part}>{long}</{part}><p>{short}</p></article></body>"
+        assert H.extract(page) == f"Title\n{long}\n{short}"
+    page = f"<body><div><p>Intro.</p><ul><li>{long}<li>{long}</ul><p>End.</p></div><div><a href=x>Next page</a></div></body>"
+    assert H.extract(page) == f"Intro.\n{long}\n{long}\nEnd."
+
+
+def test_text_right_in_the_body_is_kept_whole():
+    text = ("word " * 58 + "a, b, c; d: e.").ljust(300, "x")
+    nav = "<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>"
+    lines = "\n".join([text] * 8)
+    assert H.extract(f"<body>{nav}<h1>A title</h1>{f'<p>{text}</p>' * 8}</body>") == f"A title\n{lines}"
+    menu = "<div><a href=a>First page</a></div><div><a href=b>Second page</a></div>"
+    page = f"<body>{menu}<div><h1>A title</h1></div><div>By X</div>{f'<p>{text}</p>' * 8}<p>Short.</p><ul><li>Item</ul><h2>End</h2><p>Bye.</p>{menu}</body>"
+    assert H.extract(page) == f"A title\nBy X\n{lines}\nShort.\nItem\nEnd\nBye."

@@ -4,8 +4,9 @@ Every text block of a page has a tag path, from the root to the block element. P
 number of punctuation marks are added up and divided by the number of nodes with that path. Text ratio and
 punctuation ratio are fused by their geometric mean, smoothed along the page, weighted down by the share of link text,
 and compared with a threshold made of the page's own mean and deviation. Blocks over it are content nodes; the element
-that holds most of their text is the article, and all blocks in it are kept, apart from parts that are marked as
-something else (menus, forms, adverts, comments, ...).
+that holds all of them is the article, and all blocks in it are kept, apart from parts that are marked as
+something else (menus, forms, adverts, comments, ...). Where only the body holds them all, the stretch of the page
+from the first to the last of them is kept, with the text elements next to it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from wardline.llm.shingles import slices
 #: Share of the deviation added to the mean, and smoothing weights of a block's neighbours.
 LAMBDA = 0.0
 SMOOTH = (0.15, 0.7, 0.15)
-#: Share of the content nodes' text that the article element must hold.
-HOLDS = 0.7
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +47,12 @@ SKIPPED_WORDS = frozenset(
     "popup promo promoted promotion recommended related respond responses reply replies rss share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription toolbar topbar widget".split())
 
+# Elements that are parts of a text, never its whole.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = HEADINGS | INLINE | frozenset(
+    "p pre blockquote ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption hgroup details summary".split())
+BODY = ("", "html", "body")
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(?=[a-zA-Z/!?])", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -221,34 +226,69 @@ def extract(page: str | None) -> str:
     padded = np.pad(fused, 1, mode="edge")
     smooth = SMOOTH[0] * padded[:-2] + SMOOTH[1] * padded[1:-1] + SMOOTH[2] * padded[2:]
     content = smooth >= min(smooth.mean() + LAMBDA * smooth.std(), smooth.max())
-    # The deepest element with most of the content nodes' text.
-    total, held = 0.0, {}
-    for (block, text), good in zip(found, content):
-        if good:
-            total += len(text)
-            node = block.node
-            while node is not None:
-                held[node] = held.get(node, 0.0) + len(text)
-                node = node.parent
-    article, best = None, -1
-    for node, weight in held.items():
-        if weight >= HOLDS * total and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "th", "dd", "dt"):
-            depth = node.path.count("/")
-            if depth > best:
-                article, best = node, depth
-    bare = article is None or article.tag in ("", "html", "body")
-    kept = []
-    for (block, text), good in zip(found, content):
-        if bare:  # nothing marks the article off: only content nodes count
-            if good:
-                kept.append(text)
-            continue
-        node = block.node
-        while node is not None and node is not article:
-            node = node.parent
-        if node is article:
-            kept.append(text)
-    return "\n".join(kept)
+    nodes = [block.node for block, _ in found]
+    places = np.flatnonzero(content)
+    article = _article([nodes[k] for k in places])
+    if article.tag not in BODY:
+        return "\n".join(text for (block, text) in found if _within(block.node, article))
+    mostly_links = [2 * min(block.linked, len(text)) > len(text) for block, text in found]
+    first, last = _stretch(nodes, places, mostly_links)
+    return "\n".join(text for _, text in found[first : last + 1])
+
+
+def _above(node: Node | None) -> Iterator[Node]:
+    """The element and those around it, from the inside out."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _within(node: Node, article: Node) -> bool:
+    return any(n is article for n in _above(node))
+
+
+def _article(content: list[Node]) -> Node:
+    """The outermost article or main that holds all content nodes, else the innermost element that does and is no part of a text."""
+    common = list(_above(content[0]))
+    for other in dict.fromkeys(content):
+        around = set(_above(other))
+        common = [n for n in common if n in around]
+    whole = [n for n in common if n.tag in ("article", "main")]
+    if whole:
+        return whole[-1]
+    kinds = [n for n in common if n.tag not in TEXT]
+    # A section is one of several where something other than the body is around it.
+    while kinds[0].tag == "section" and kinds[1].tag not in BODY:
+        del kinds[0]
+    return kinds[0]
+
+
+def _stretch(nodes: list[Node], places: np.ndarray, mostly_links: list[bool]) -> tuple[int, int]:
+    """First and last block of the text where only the body holds all content nodes.
+
+    From the first to the last content node, with the whole of each article or main that has one. From there on outwards
+    to the furthest block that is on a content node's path or in text elements alone, or, before the
+    text, a heading, as far as no block of mostly links comes between.
+    """
+    whole = {n for k in places for n in _above(nodes[k]) if n.tag in ("article", "main")}
+    inside = [k for k, node in enumerate(nodes) if whole and any(n in whole for n in _above(node))]
+    first, last = min([places[0], *inside[:1]]), max([places[-1], *inside[-1:]])
+    paths = {nodes[k].path for k in places}
+
+    def belongs(node: Node) -> bool:
+        return node.path in paths or all(n.tag in TEXT or n.tag in BODY for n in _above(node))
+
+    for k in range(first - 1, -1, -1):
+        if mostly_links[k]:
+            break
+        if nodes[k].tag in HEADINGS or belongs(nodes[k]):
+            first = k
+    for k in range(last + 1, len(nodes)):
+        if mostly_links[k]:
+            break
+        if belongs(nodes[k]):
+            last = k
+    return first, last
 
 
 def texts(pages: DataFrame, column: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
