@@ -68,3 +68,27 @@ def test_text_right_in_the_body_is_kept_whole():
     menu = "<div><a href=a>First page</a></div><div><a href=b>Second page</a></div>"
     page = f"<body>{menu}<div><h1>A title</h1></div><div>By X</div>{f'<p>{text}</p>' * 8}<p>Short.</p><ul><li>Item</ul><h2>End</h2><p>Bye.</p>{menu}</body>"
     assert H.extract(page) == f"A title\nBy X\n{lines}\nShort.\nItem\nEnd\nBye."
+
+
+def test_marks_never_take_the_article():
+    text = LONG.strip()
+    inner = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Title\n{text}\n{text}"
+    nav = "<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class=sidebar><p>Aside.</p></div>"
+    for around in ("div class='site has-sidebar'", "div class='post comments-open'", "div id='ad-free-content'", "div class='no-share'", "form action=x",
+                   "section class=widget", "div role=dialog"):
+        for whole in ("article", "main", "div class=post"):
+            page = f"<body><{around}>{nav}<{whole}>{inner}</{whole.split()[0]}><footer>(c)</footer></{around.split()[0]}></body>"
+            assert H.extract(page) == want, page
+        assert H.extract(f"<body><{around}>{inner}</{around.split()[0]}>{nav}</body>") == want
+    halves = f"<div class=no-share><p>{LONG}</p></div>" * 2
+    assert H.extract(f"<body>{halves}</body>") == f"{text}\n{text}"
+
+
+def test_long_comments_and_teasers_stay_out():
+    text = LONG.strip()
+    for tag in ("article", "article class=comment-body"):
+        comments = f"<section id=comments>{f'<{tag}><p>No.</p></article>' * 3}</section>"
+        assert H.extract(f"<body><article><p>{LONG * 2}</p><p>{LONG}</p></article>{comments}</body>") == f"{(LONG * 2).strip()}\n{text}"
+    comments = f"<section id=comments>{f'<p>{LONG}</p>' * 6}</section>"
+    assert H.extract(f"<body><article><p>{LONG}</p><p>{LONG}</p></article>{comments}</body>") == f"{text}\n{text}"

@@ -26,6 +26,8 @@ from wardline.llm.shingles import slices
 #: Share of the deviation added to the mean, and smoothing weights of a block's neighbours.
 LAMBDA = 0.0
 SMOOTH = (0.15, 0.7, 0.15)
+#: Share of the page's text from which on articles outside all marks are taken to be the page's article.
+FREE = 0.2
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +42,7 @@ SELF_NESTING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option":
                 "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead")}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 SKIPPED = frozenset("nav footer aside form button dialog menu search fieldset".split())
+NEVER_WHOLE = SKIPPED - {"form", "fieldset"}
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -61,28 +64,39 @@ _PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skipped", "parent", "link", "text", "weight")
+    __slots__ = ("tag", "path", "marked", "worded", "skipped", "parent", "link", "size")
 
-    def __init__(self, tag: str, parent: "Node | None", skipped: bool):
+    def __init__(self, tag: str, parent: "Node | None", marked: bool, worded: bool = False):
         self.tag, self.parent = tag, parent
         self.path = tag if parent is None else parent.path if tag in INLINE else f"{parent.path}/{tag}"
-        self.skipped = skipped or (parent is not None and parent.skipped)
+        #: The element's own marks; whether they leave it out is known at the page's end.
+        self.marked, self.worded, self.skipped = marked, worded, False
         self.link = tag == "a" or (parent is not None and parent.link)
-        self.weight = 0.0
+        self.size = 0  # characters of text right in the element
 
 
 class Block:
-    __slots__ = ("node", "parts", "linked")
+    __slots__ = ("node", "parts")
 
     def __init__(self, node: Node):
-        self.node, self.parts, self.linked = node, [], 0
+        self.node, self.parts = node, []
+
+    def kept(self) -> tuple[str, int]:
+        """The text outside skipped elements, and how much of it is links."""
+        parts = [(node, text) for node, text in self.parts if not node.skipped]
+        return "".join(text for _, text in parts), sum(len(text) for node, text in parts if node.link)
 
 
 def marked(tag: str, attributes: str, inside: bool) -> bool:
     """Whether the element is marked as something other than the article; ``inside``: it stands in an article or main."""
     if tag in SKIPPED or (tag == "header" and not inside):
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    return tag not in ("html", "body", "article", "main") and worded(attributes)
+
+
+def worded(attributes: str) -> bool:
+    """Whether the attributes mark their element as something other than the article."""
+    if not attributes:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -100,7 +114,7 @@ def marked(tag: str, attributes: str, inside: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, by the tag rules that matter for text: implied ends, raw text, unclosed elements."""
     root = Node("", None, False)
-    stack, out, block, at, size = [root], [], None, 0, len(page)
+    nodes, stack, out, block, at, size = [root], [root], [], None, 0, len(page)
     inside = 0
 
     def close(k: int) -> None:
@@ -111,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
     def take(text: str) -> None:
         nonlocal block
         node = stack[-1]
-        if not text or node.skipped:
+        if not text:
             return
         holder = node
         while holder.tag in INLINE and holder.parent is not None:
@@ -121,9 +135,8 @@ def blocks_of(page: str) -> list[Block]:
                 return
             block = Block(holder)
             out.append(block)
-        block.parts.append(text)
-        if node.link:
-            block.linked += len(text)
+        block.parts.append((node, text))
+        node.size += len(text.strip())
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -144,7 +157,7 @@ def blocks_of(page: str) -> list[Block]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         del stack[k]
-                        _relink(stack, k)
+                        nodes += _relink(stack, k)
                         break
                     if stack[k].tag not in INLINE:
                         break
@@ -189,40 +202,91 @@ def blocks_of(page: str) -> list[Block]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "a":
                     del stack[k]
-                    _relink(stack, k)
+                    nodes += _relink(stack, k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        node = Node(tag, stack[-1], marked(tag, m[3], inside > 0))
+        whole = tag in ("article", "main")
+        node = Node(tag, stack[-1], marked(tag, m[3], inside > 0), whole and worded(m[3]))
+        nodes.append(node)
         stack.append(node)
-        inside += tag in ("article", "main")
+        inside += whole
+    _skip(nodes)
     return out
 
 
-def _relink(stack: list[Node], k: int) -> None:
+def _relink(stack: list[Node], k: int) -> list[Node]:
     """Rebuild the inline elements above a closed one."""
     for i in range(k, len(stack)):
-        stack[i] = Node(stack[i].tag, stack[i - 1], stack[i - 1].skipped)
+        stack[i] = Node(stack[i].tag, stack[i - 1], stack[i].marked)
+    return stack[k:]
+
+
+def _skip(nodes: list[Node]) -> None:
+    """Settle which elements are left out; ``nodes`` has each after the one around it.
+
+    A mark does not hold for an element around an article or main, unless the articles outside all marks hold more
+    text (then it is one of comments or teasers; an article with marks of its own is one too). Nor does it hold
+    for an element with most of the page's text, unless it is of a kind that never holds an article or
+    the articles outside all marks have a share. If nothing were left, words in class and id hold for no element.
+    """
+    if not any(node.marked for node in nodes):
+        return
+    text = {node: node.size for node in nodes}
+    for node in reversed(nodes):
+        if node.parent is not None:
+            text[node.parent] += text[node]
+    within, under, free = {None: False}, {None: False}, 0
+    articles = dict.fromkeys(nodes, 0)
+    for node in nodes:
+        whole = node.tag in ("article", "main") and not node.worded
+        within[node] = within[node.parent] or whole
+        under[node] = under[node.parent] or node.marked
+        if within[node] and not under[node]:
+            free += node.size
+    for node in reversed(nodes):
+        if node.tag in ("article", "main") and not node.worded:
+            articles[node] = text[node]
+        if node.parent is not None:
+            articles[node.parent] += articles[node]
+
+    def holds(node: Node) -> bool:
+        if not node.marked or 0 < articles[node] >= free:
+            return False
+        return node.tag in NEVER_WHOLE or 2 * text[node] <= text[nodes[0]] or free >= FREE * text[nodes[0]]
+
+    def settle(kinds_only: bool) -> bool:
+        left = False
+        for node in nodes:
+            own = holds(node) and not (kinds_only and node.tag not in SKIPPED)
+            node.skipped = own or (node.parent is not None and node.parent.skipped)
+            left |= node.size > 0 and not node.skipped
+        return left
+
+    if not settle(False):
+        settle(True)
 
 
 def extract(page: str | None) -> str:
     """The article's blocks, one per line; empty if there is none."""
-    found = []
+    found, linked = [], []
     for block in blocks_of(page or ""):
-        text = " ".join(html.unescape("".join(block.parts)).split())
+        text, links = block.kept()
+        text = " ".join(html.unescape(text).split())
         if text:
             found.append((block, text))
+            linked.append(min(links, len(text)))
     if not found:
         return ""
     ratio: dict[str, list[float]] = {}
-    for block, text in found:
+    for (block, text), links in zip(found, linked):
         sums = ratio.setdefault(block.node.path, [0.0, 0.0, 0.0, 0.0])
-        for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), min(block.linked, len(text)))):
+        for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
             sums[k] += v
     fused = np.empty(len(found))
     for i, (block, _) in enumerate(found):
-        n, chars, marks, linked = ratio[block.node.path]
-        fused[i] = math.sqrt(chars / n * (1 + marks / n)) * (1 - linked / chars)
+        n, chars, marks, links = ratio[block.node.path]
+        fused[i] = math.sqrt(chars / n * (1 + marks / n)) * (1 - links / chars)
     padded = np.pad(fused, 1, mode="edge")
     smooth = SMOOTH[0] * padded[:-2] + SMOOTH[1] * padded[1:-1] + SMOOTH[2] * padded[2:]
     content = smooth >= min(smooth.mean() + LAMBDA * smooth.std(), smooth.max())
@@ -231,7 +295,7 @@ def extract(page: str | None) -> str:
     article = _article([nodes[k] for k in places])
     if article.tag not in BODY:
         return "\n".join(text for (block, text) in found if _within(block.node, article))
-    mostly_links = [2 * min(block.linked, len(text)) > len(text) for block, text in found]
+    mostly_links = [2 * links > len(text) for (_, text), links in zip(found, linked)]
     first, last = _stretch(nodes, places, mostly_links)
     return "\n".join(text for _, text in found[first : last + 1])
 
