@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from wardline.llm import warc as W
 
 KIND = "page_id bigint, url string, html string"
@@ -75,3 +77,25 @@ def test_salvage_of_noise_ends(tmp_path):
     assert [type(f) for f in found] == [W.Gap] and found[0].length == len(noise)
     (tmp_path / "e").write_bytes(b"")
     assert list(W.salvage(str(tmp_path / "e"))) == []
+
+
+def test_urls_of_any_length_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/" + " " * 30_000, "x"), (2, "http://b/" + "u" * 700_000, "y"), (3, "http://c", "x")], KIND)
+    manifest = W.write(pages, str(tmp_path))
+    got = W.complete(W.read(manifest), manifest).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2, 3] and all(r["gap_reason"] is None for r in got)
+    url = "http://a/" + "u" * 70_000
+    (tmp_path / "plain").write_bytes(W.record(5, url, b"z", W.digest(b"z"), None, False) * 2)
+    assert [f.headers["warc-target-uri"] for f in W.salvage(str(tmp_path / "plain"))] == [url, url]
+
+
+def test_lost_pages_fail(spark, tmp_path):
+    manifest = W.write(spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], KIND).coalesce(1), str(tmp_path))
+    paths = [r["path"] for r in manifest.collect()]
+    data = bytearray(open(paths[0], "rb").read())
+    data[len(data) // 2 - 20] ^= 0xFF
+    open(paths[0], "wb").write(bytes(data))
+    with pytest.raises(RuntimeError, match="do not hold"):
+        W.complete(W.read(manifest), manifest)
+    with pytest.raises(RuntimeError, match="do not hold"):
+        W.complete(W.read(manifest.limit(0)), manifest)

@@ -29,7 +29,7 @@ GZIP = b"\x1f\x8b\x08"
 FILE_BYTES = 1 << 27
 LEVEL = 1
 READ = 1 << 18
-#: Largest head of a record that is looked for.
+#: Bytes of a record in which the end of its head is looked for first; the window then grows.
 HEAD = 1 << 16
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 
@@ -110,12 +110,17 @@ class Source:
 
 def _parse(data, start: int, size: int, fetch) -> tuple[dict[str, str], int, int]:
     """Headers of the record at ``start`` and where its block begins and ends; ``fetch(offset, n)`` gives bytes."""
-    head = fetch(start, HEAD)
+    window = HEAD
+    head = fetch(start, window)
     if not _VERSION_LINE.match(head):
         raise Bad("no version line")
     end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Bad("headers do not end")
+    while end < 0:
+        if len(head) < window:
+            raise Bad("headers do not end")
+        seen, window = len(head), 4 * window
+        head = fetch(start, window)
+        end = head.find(b"\r\n\r\n", seen - 3)
     headers = _fields(head[:end].split(b"\r\n")[1:])
     length = headers.get("content-length", "")
     if not length.isdigit():
@@ -289,7 +294,19 @@ def read(paths: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, schema)
 
 
+def complete(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``found``, what ``read`` gives for the manifest's archives; the query fails if it has a gap or an archive has not its number of records."""
+    held = found.groupBy("path").agg(
+        F.count_if(F.col("gap_reason").isNull()).alias("held"), F.count(F.col("gap_reason")).alias("gaps"), F.first("gap_reason", True).alias("reason"))
+    wrong = manifest.join(held, "path", "left").filter(
+        (F.coalesce("held", F.lit(0)) != F.col("n_records")) | (F.coalesce("gaps", F.lit(0)) > 0))
+    bad = wrong.select("path", "n_records", "held", "gaps", "reason").limit(5).collect()
+    if bad:
+        raise RuntimeError(f"archives do not hold what was written: {bad}")
+    return found
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    found = read(manifest)
-    return found.filter(F.col("gap_reason").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = complete(cut_lineage(read(manifest)), manifest)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
