@@ -66,3 +66,27 @@ def test_null_empty_and_letterless_texts(spark):
     assert L.fit(docs.limit(0), PATH) is None
     assert L.predict(docs, None).filter("lang_pred = 'und' AND score = 0").count() == len(rows)
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+def test_expected_counts_of_words_of_any_length():
+    pieces = np.random.default_rng(2).dirichlet(np.ones(32_000), 2).T
+    words = ["the", "straße", "ab" * 3_000, "x" * 40]
+    weights = np.array([[2.0, 1.0], [1.0, 0.0], [3.0, 1.0], [0.0, 5.0]])
+    ids, counts = L.expected_counts(words, weights, PATH, pieces)
+    assert len(set(ids)) == len(ids) and np.isfinite(counts).all()
+    size = {i: len(p) for p, i in L.vocabulary(PATH)[0].items()}
+    covered = sum(c * size.get(i, 1) for i, c in zip(ids, counts))
+    assert covered == pytest.approx(weights.T @ np.array([len(w) + 1 for w in words]))
+    # A piece's expected count is the derivative of the log of the sum by the log of its probability.
+    k, step = int(np.argmax(counts[:, 0])), 1e-4
+    more = pieces.copy()
+    more[ids[k]] *= np.exp(step)
+    slope = (L.forward(words, PATH, more) - L.forward(words, PATH, pieces)) / step
+    assert (slope * weights).sum(axis=0) == pytest.approx(counts[k], rel=1e-2)
+
+
+def test_texts_of_long_words_only_are_learned(spark):
+    kinds = {"aa": "derundunddasist、", "zz": "theandofthat、"}
+    docs = spark.createDataFrame([(k, text * (5 + k % 7), lang) for lang, text in kinds.items() for k in range(60)], "doc_id bigint, text string, lang string")
+    got = L.predict(docs, L.fit(docs, PATH)).collect()
+    assert [r for r in got if r["lang_pred"] != r["lang"]] == []

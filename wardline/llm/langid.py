@@ -28,8 +28,6 @@ from wardline.llm.word_table import RowTable
 MARK = "▁"
 UNKNOWN = 0
 UNDETERMINED = "und"
-#: Longer words take no part in learning; all words are scored.
-TRAIN_WORD_CHARS = 32
 _RESCALE = 16
 
 
@@ -132,18 +130,23 @@ def _sum_runs(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[first], np.add.reduceat(values, first, axis=0)
 
 
-def forward(words: list[str], path: str, pieces: np.ndarray) -> np.ndarray:
-    """Log of the summed probability of all segmentations, words x languages; words of any length."""
-    out = np.zeros((len(words), pieces.shape[1]))
-    by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
+def by_length(words: list[str], cells: int) -> Iterator[list[int]]:
+    """Places of words of like length, at most ``cells`` cells of words x longest word at a time, or one word."""
+    order = sorted(range(len(words)), key=lambda k: len(words[k]))
     start = 0
-    while start < len(by_length):
+    while start < len(order):
         stop = start + 1
-        while stop < len(by_length) and (stop + 1 - start) * (len(words[by_length[stop]]) + 2) <= 200_000:
+        while stop < len(order) and (stop + 1 - start) * (len(words[order[stop]]) + 2) <= cells:
             stop += 1
-        rows = by_length[start:stop]
-        out[rows] = _forward([words[k] for k in rows], path, pieces)
+        yield order[start:stop]
         start = stop
+
+
+def forward(words: list[str], path: str, pieces: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations, words x languages; words of any length."""
+    out = np.zeros((len(words), pieces.shape[1]))
+    for rows in by_length(words, 200_000):
+        out[rows] = _forward([words[k] for k in rows], path, pieces)
     return out
 
 
@@ -172,27 +175,50 @@ def _forward(words: list[str], path: str, pieces: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(words: list[str], weights: np.ndarray, path: str, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece ids, expected counts x languages) for words seen ``weights`` times in each language."""
+    """(piece ids, expected counts x languages) for words seen ``weights`` times in each language; words of any length."""
+    found = [_expected_counts([words[k] for k in rows], weights[rows], path, pieces) for rows in by_length(words, 200_000)]
+    piece, counts = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(piece, kind="stable")
+    return _sum_runs(piece[order], counts[order])
+
+
+def _expected_counts(words: list[str], weights: np.ndarray, path: str, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward sums are both rescaled every few characters; the logs of their scales are kept by position."""
     word, begin, end, piece, length = edges(words, path)
     deepest = int(length.max())
+    every = np.arange(len(words))
     alpha = np.zeros((deepest + 1, len(words), pieces.shape[1]))
     beta = np.zeros_like(alpha)
+    # True sums are alpha * exp(up) and beta * exp(down).
+    up, down = np.zeros_like(alpha), np.zeros_like(alpha)
     alpha[0] = 1.0
-    beta[length, np.arange(len(words))] = 1.0
+    beta[length, every] = 1.0
     bounds = np.searchsorted(end, np.arange(1, deepest + 2))
+
+    def rescale(sums: np.ndarray, logs: np.ndarray, j: int) -> None:
+        scale = sums[j]
+        scale = np.where(scale > 0, scale, 1.0)
+        sums[j] /= scale
+        logs[j] += np.log(scale)
+
     for j in range(1, deepest + 1):
         s = slice(bounds[j - 1], bounds[j])
-        at, sums = _sum_runs(word[s], alpha[begin[s], word[s]] * pieces[piece[s]])
+        # Every position is reached by a single character from the one before: its log is the common base.
+        up[j] = up[j - 1]
+        at, sums = _sum_runs(word[s], alpha[begin[s], word[s]] * np.exp(up[begin[s], word[s]] - up[j, word[s]]) * pieces[piece[s]])
         alpha[j, at] = sums
+        rescale(alpha, up, j)
     order = np.lexsort((word, begin))
     starts = np.searchsorted(begin[order], np.arange(deepest + 1))
     for i in range(deepest - 1, -1, -1):
         s = order[starts[i] : starts[i + 1]]
         if len(s):
-            at, sums = _sum_runs(word[s], beta[end[s], word[s]] * pieces[piece[s]])
+            down[i] = np.where((i < length)[:, None], down[i + 1], 0.0)
+            at, sums = _sum_runs(word[s], beta[end[s], word[s]] * np.exp(down[end[s], word[s]] - down[i, word[s]]) * pieces[piece[s]])
             beta[i, at] += sums
-    total = alpha[length, np.arange(len(words))]
-    share = alpha[begin, word] * pieces[piece] * beta[end, word] * (weights / total)[word]
+            rescale(beta, down, i)
+    logs = np.log(alpha[length, every]) + up[length, every]
+    share = alpha[begin, word] * pieces[piece] * beta[end, word] * np.exp(up[begin, word] + down[end, word] - logs[word]) * weights[word]
     order = np.argsort(piece, kind="stable")
     return _sum_runs(piece[order], share[order])
 
@@ -240,7 +266,7 @@ def fit(docs: DataFrame, vocabulary_path: str, docs_per_lang: int = 600, rounds:
     counted = sample.mapInArrow(word_counts, "lang string, word string, n bigint")
     columns = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k, lang in enumerate(langs)]
     words = cut_lineage(
-        counted.filter(F.length("word").between(1, TRAIN_WORD_CHARS)).groupBy("word").agg(*columns)
+        counted.filter(F.length("word") > 0).groupBy("word").agg(*columns)
     )
     size = vocabulary(vocabulary_path)[2]
     pieces = np.full((size, len(langs)), 1.0 / size)
