@@ -123,3 +123,16 @@ def test_containment_equals_brute_force(spark):
         got = [(r["doc_id"], r["item_id"], round(r["containment"], 6)) for r in D.search(d, b, item_bytes=size).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert D.search(d.limit(0), b).count() == 0 and D.search(d, b.limit(0)).count() == 0
+
+
+def test_short_items_are_always_found(spark):
+    rng = random.Random(5)
+    items, docs = [], []
+    for k in range(400):
+        item = [f"i{k}w{j}" for j in range(5 + k % 8)]
+        text = [f"d{rng.randrange(10**9)}" for _ in range(1200)]
+        at = rng.randrange(1200)
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(text[:at] + item + text[at:])))
+    found = D.search(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [(k, k, 1.0) for k in range(400)]

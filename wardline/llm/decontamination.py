@@ -7,6 +7,7 @@ neighbouring stretches of 2^c: every passage of up to 2^c shingles lies within o
 Window minima come from the minima of the stretches, and those of one class from the class below, so all classes cost
 about one pass over the shingles. A window becomes a candidate for an item if any of their MinHash values agree;
 their number follows from the smallest Jaccard index an item with 0.8 containment can have in its window.
+Items of fewer than eight shingles are found by a table of all their shingles instead, so each is a candidate wherever one occurs.
 Candidates are verified at once: exact shingle sets of the item and of the whole document.
 
 Items are the stated query set. They are read in blocks of bounded size; each block's index (a known number of
@@ -30,6 +31,8 @@ RECALL = 0.9995
 #: Bytes of item text in one block of the query set.
 ITEM_BYTES = 1 << 24
 SMALLEST_CLASS = 3
+#: Items of fewer shingles are looked up directly: below, the index of an item in its window may be less than hashes_needed() assumes.
+DIRECT = 8
 
 
 def hashes_needed(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -55,9 +58,15 @@ class ItemIndex:
         self.threshold = threshold
         self.factors = seeds(hashes_needed(threshold, recall), 3)
         self.classes = size_class(np.array([len(s) for s in self.sets]))
+        sizes = np.array([len(s) for s in self.sets], np.int64)
+        short = np.flatnonzero(sizes < DIRECT)
+        keys = np.concatenate([self.sets[m] for m in short]) if len(short) else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        #: Shingles of the short items, sorted, and the item of each.
+        self.keys, self.owners = keys[order], np.repeat(short, sizes[short])[order]
         self.values = {}
-        for c in np.unique(self.classes):
-            members = np.flatnonzero(self.classes == c)
+        for c in np.unique(self.classes[sizes >= DIRECT]):
+            members = np.flatnonzero((self.classes == c) & (sizes >= DIRECT))
             rows = []
             for factor in self.factors:
                 least = np.array([_scramble(self.sets[m], factor).min() for m in members])
@@ -77,6 +86,20 @@ def _item_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return hashes, bounds, np.diff(words.bounds)
 
 
+def short_hit(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex) -> set[tuple[int, int]]:
+    """(text, item) pairs that share a shingle, for items of fewer than DIRECT shingles."""
+    if not len(index.keys) or not len(hashes):
+        return set()
+    lo = np.searchsorted(index.keys, hashes, "left")
+    at = np.flatnonzero(index.keys[np.minimum(lo, len(index.keys) - 1)] == hashes)
+    lo, hi = lo[at], np.searchsorted(index.keys, hashes[at], "right")
+    text = np.searchsorted(bounds, at, "right") - 1
+    n = hi - lo
+    member = index.owners[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    pairs = np.unique(np.stack([np.repeat(text, n), member]), axis=1)
+    return set(zip(*pairs.tolist()))
+
+
 def windows_hit(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex) -> set[tuple[int, int]]:
     """(text, item) pairs of which some window and the item agree in a MinHash value."""
     found: set[tuple[int, int]] = set()
@@ -116,7 +139,7 @@ def _search(docs: DataFrame, index: ItemIndex, keep: list[str]) -> DataFrame:
                 hashes, bounds = words.shingles()
                 long_enough = np.diff(words.bounds) >= WIDTH
                 rows, items, shares = [], [], []
-                for text, item in sorted(windows_hit(hashes, bounds, index)):
+                for text, item in sorted(windows_hit(hashes, bounds, index) | short_hit(hashes, bounds, index)):
                     if long_enough[text]:
                         own = hashes[bounds[text] : bounds[text + 1]]
                         share = np.isin(index.sets[item], own).mean()
