@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "scratch_path", "table", "Query", "pair_blocks", "private_names"]
+__all__ = ["cut_lineage", "scratch_path", "table", "Query", "pair_blocks", "private_names", "attach"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,3 +43,15 @@ def pair_blocks(n: Column, member: Column, size: int) -> Column:
         F.sequence(F.lit(0), blocks - 1),
         lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")),
     )
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, hot: int = 1000) -> DataFrame:
+    """Inner join of rows with facts, a written table of one row a key whose weight is its number of rows.
+
+    Keys with at least 1 / hot of all rows, of which there are hot at most, travel to the rows; no other key is large.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * hot >= max(total, 1)
+    large = F.broadcast(facts.filter(heavy))
+    small = rows.join(F.broadcast(facts.filter(heavy).select(key)), key, "left_anti").join(facts.filter(~heavy), key)
+    return rows.join(large, key).unionByName(small)

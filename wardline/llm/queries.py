@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from wardline.llm import decontamination, embedding_dedup, html_text, langid, mixing, near_duplicates, token_counts, token_files, url_filter, warc
+from wardline.llm import (
+    code_compression, decontamination, embedding_dedup, exact_dedup, filter_audit, html_text, langid, mixing, near_duplicates, token_counts,
+    token_files, url_filter, warc,
+)
 from wardline.llm.common import Query
 
 QUERIES: dict[str, Query] = {
@@ -16,6 +19,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": warc.op8,
     "op9_token_files": token_files.op9,
     "op10_html_text": html_text.op10,
+    "op11_exact_dedup": exact_dedup.op11,
+    "op12_filter_audit": filter_audit.op12,
+    "op13_code_compression": code_compression.op13,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
@@ -23,4 +29,7 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.ORACLE,
     "op6_embedding_dedup": embedding_dedup.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_code_compression": code_compression.ORACLE,
 }
