@@ -55,7 +55,7 @@ def test_two_measurements_of_one_item(spark):
     long = R.melt(df, ["p", "ord", "item"], ["v1", "v2"], "slot", "value")
     by_slot = R.pivot_first(long.withColumn("item", W.slot_label("item", "slot")), ["p"], "item", "value", ["BMI 1", "BMI 2"], ["ord"])
     assert tuple(by_slot.first())[1:] == (170.0, 50.0)
-    numbered = window.ordinal_suffix(long, ["p"], "item", ["slot", "ord"], segment=F.lit(0).cast("bigint"))
+    numbered = window.ordinal_suffix(long, ["p"], "item", ["slot", "ord"])
     by_order = R.pivot_first(numbered, ["p"], "item", "value", ["BMI 1", "BMI 2"], ["ord"])
     assert tuple(by_order.first())[1:] == (170.0, 171.0)
 

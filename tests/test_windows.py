@@ -16,6 +16,12 @@ def rows(spark):
     return events.withColumn("user_id", hot).withColumn("gappy", gaps).withColumn("n", F.dayofmonth("ts")).cache()
 
 
+@pytest.fixture(params=[50_000, 60], ids=["whole", "cut"], autouse=True)
+def segment_rows(request, monkeypatch):
+    """Every test runs with plain windows and with groups cut into many segments."""
+    monkeypatch.setattr(W, "SEGMENT_ROWS", request.param)
+
+
 def same(a, b):
     a, b = a.select(sorted(a.columns)), b.select(sorted(b.columns))
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
@@ -52,6 +58,37 @@ def test_last_known(rows):
     assert same(got, rows.withColumn("gappy_prev", F.last("gappy", True).over(before)))
 
 
+def test_rows_of_one_second_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(W, "SEGMENT_ROWS", 8_000)
+    df = spark.range(100_000).select(F.lit(1).alias("p"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
+                                     (F.xxhash64("id") % 1_000_003).alias("x"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = W.last_known(W.sequence(df, ["p"], ["ts", "x", "id"], "n"), ["p"], ["ts", "x", "id"], ["id"])
+        per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per_task) > 2 and max(per_task) < 70_000
+    cuts = W.segment_cuts(df, ["p"], ["ts", "x", "id"]).first()["_cuts"]
+    assert 6 < len(cuts) < 25
+    w = Window.partitionBy("p").orderBy("ts", "x", "id")
+    assert same(got, df.select("*", F.row_number().over(w).cast("bigint").alias("n"), F.lag("id").over(w).alias("id_prev")))
+
+
+def test_null_keys_and_null_orders_carry(spark, monkeypatch):
+    monkeypatch.setattr(W, "SEGMENT_ROWS", 40)
+    key = F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.col("id") % 2)
+    df = spark.range(600).select(key.alias("p"), F.when(F.col("id") > 90, F.col("id") % 97).alias("o"), "id",
+                                 F.when(F.col("id") % 50 == 7, F.col("id")).alias("x"))
+    w = Window.partitionBy("p").orderBy("o", "id")
+    assert W.segment_cuts(df, ["p"], ["o", "id"]).filter("p IS NULL").first()["_cuts"]
+    assert same(W.last_known(df, ["p"], ["o", "id"], ["x"]), df.withColumn("x_prev", F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    assert same(W.lags(df, ["p"], ["o", "id"], ["id"], 2), df.select("*", F.lag("id").over(w).alias("id_lag1"), F.lag("id", 2).over(w).alias("id_lag2")))
+    filled = W.fill_both(df, ["p"], ["o", "id"], ["x"])
+    onward = F.first("x", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    assert same(filled, df.withColumn("x", F.coalesce(F.last("x", True).over(w), onward)))
+
+
 def test_row_id_is_dense_and_ordered(spark, rows):
     got = rank.with_row_id(rows, ["user_id", "event_id"])
     want = rows.withColumn("ROW", F.row_number().over(Window.orderBy("user_id", "event_id")).cast("bigint"))

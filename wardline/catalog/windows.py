@@ -46,8 +46,7 @@ def e2(spark, sf):
 )
 def e3(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", "value")
-    span = F.floor(F.col("value") / 4).cast("bigint")
-    return W.rank_first(rows, ["event_type"], ["value", "event_id"], "rank", span).select("event_id", "rank")
+    return W.rank_first(rows, ["event_type"], ["value", "event_id"]).select("event_id", "rank")
 
 
 @register(

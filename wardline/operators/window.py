@@ -1,48 +1,70 @@
 """Ordered features within groups.
 
-A group may be far larger than one task should hold, so no window here spans a whole group. Every
-group is cut into *segments* along its order (a span of days, hours or numbers, a pure function of
-the leading order column). The full rows are shuffled once, by group and segment; what a segment
-must know about the segments before it (how many rows, the last rows, the last known value) comes
-from a small table with one row per segment, which is joined back on the same partitioning.
+A group may be far larger than one task should hold. Groups of more than SEGMENT_ROWS rows are cut into *segments* of like numbers of
+rows, at sampled values of the whole order, so even rows of one second spread over tasks. Rows are shuffled once, by group and
+segment; each segment reduces to a carry (its row count, last rows, last known value), and a prefix over the carries, one row per
+segment, tells every segment what lies before it. Where no group is that large, plain windows over the groups do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardline.operators.reshape import _order, first_where
+from wardline.operators.rank import bucket_of
+from wardline.operators.reshape import first_where
+from wardline.session import cut_lineage
 
-SEGMENT_DAYS = 32
-SEGMENT_SECONDS = 86_400
-SEGMENT_UNITS = 4_096
-BEFORE_ALL = -(1 << 62)
+SEGMENT_ROWS = 50_000
+#: Segments of a group at most (a larger group has larger ones), and sampled rows per segment.
+SEGMENT_LEVELS, SEGMENT_SAMPLE = 12, 32
 
 
-def segment_of(df: DataFrame, order_by: Sequence[str]) -> Column:
-    """Segment number of a row, ascending with the leading order column."""
-    col, kind = F.col(order_by[0]), df.schema[order_by[0]].dataType
-    if isinstance(kind, T.DateType):
-        number = F.floor(F.unix_date(col) / SEGMENT_DAYS)
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        number = F.floor(F.unix_timestamp(col.cast("timestamp")) / SEGMENT_SECONDS)
-    elif isinstance(kind, T.NumericType):
-        number = F.floor(col / SEGMENT_UNITS)
-    else:
-        raise TypeError(f"pass segment= to order by a column of type {kind.simpleString()}")
-    return F.coalesce(number.cast("bigint"), F.lit(BEFORE_ALL))
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def segment_cuts(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int | None = None) -> DataFrame | None:
+    """Table (keys, _cuts) for the groups of more than ``rows`` rows: ascending order values that cut them into
+    segments of about that size. None if there is no such group.
+
+    Counting is one aggregate, combined before the shuffle. Only large groups are sampled, by a hash of the order values, at most
+    2^SEGMENT_LEVELS * SEGMENT_SAMPLE values per group.
+    """
+    rows = rows or SEGMENT_ROWS
+    large = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows))
+    if large.isEmpty():
+        return None
+    order = F.struct(*order_by)
+    share = F.lit(float(SEGMENT_SAMPLE)) / F.greatest(F.lit(rows), F.col("_n") / (1 << SEGMENT_LEVELS))
+    drawn = same_keys(df, large, keys).filter(F.pmod(F.xxhash64(*order_by, F.lit(1)), F.lit(1 << 31)) < share * (1 << 31))
+    values = drawn.groupBy(*keys).agg(F.sort_array(F.collect_set(order)).alias("_s"))
+    at = F.when(F.size("_s") < SEGMENT_SAMPLE, F.array().cast("array<int>")).otherwise(
+        F.sequence(F.lit(SEGMENT_SAMPLE), F.size("_s"), F.lit(SEGMENT_SAMPLE)))
+    return cut_lineage(values.select(*keys, F.transform(at, lambda i: F.get("_s", i - 1)).alias("_cuts")))
 
 
 class _Segmented:
-    """A frame cut into segments, with the windows used on it."""
+    """A frame cut into segments where that is needed, with the windows used on it."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order_by: Sequence[str], segment: Column | None):
-        self.keys, self.order_by = list(keys), list(order_by)
-        self.names = df.columns
-        self.df = df.withColumn("_seg", segment_of(df, order_by) if segment is None else segment)
-        self.groups = [*self.keys, "_seg"]
+        self.keys, self.order_by, self.names = list(keys), list(order_by), df.columns
+        self.order = F.struct(*order_by)
+        cuts = segment_cuts(df, self.keys, self.order_by) if segment is None else None
+        self.whole = segment is None and cuts is None
+        if segment is not None:
+            df = df.withColumn("_seg", segment)
+        elif cuts is not None:
+            # One level more than SEGMENT_LEVELS: a sample is seldom exactly as large as expected.
+            seg = F.when(F.col("_cuts").isNotNull(), bucket_of(self.order, F.col("_cuts"), SEGMENT_LEVELS + 2))
+            df = same_keys(df, cuts, self.keys, "left").withColumn("_seg", F.coalesce(seg, F.lit(0)).cast("bigint")).drop("_cuts")
+        self.df = df.withColumn("_seg", F.lit(0).cast("bigint")) if self.whole else df
+        self.groups = self.keys if self.whole else [*self.keys, "_seg"]
         self.window = Window.partitionBy(*self.groups).orderBy(*order_by)
         self.to_here = self.window.rowsBetween(Window.unboundedPreceding, 0)
         self.before = self.window.rowsBetween(Window.unboundedPreceding, -1)
@@ -53,24 +75,33 @@ class _Segmented:
         self.nearest = lambda k: chain.rowsBetween(-k, -1)
 
     def summary(self, *aggs: Column) -> DataFrame:
-        return self.df.groupBy(*self.groups).agg(*aggs)
+        return self.df.groupBy(*self.keys, "_seg").agg(*aggs)
 
     def last_row(self, cols: Sequence[str]) -> Column:
-        return F.max_by(F.struct(*cols), F.struct(*self.order_by))
+        return F.max_by(F.struct(*cols), self.order)
+
+    def last_value(self, col: str) -> Column:
+        return F.max_by(col, F.when(F.col(col).isNotNull(), self.order))
 
     def with_carry(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
-        return rows.join(carry, self.groups, "left")
+        if self.whole:  # nothing lies before a group's only segment
+            return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in carry.schema if f.name not in [*self.keys, "_seg"]})
+        return same_keys(rows, carry, [*self.keys, "_seg"], "left")
 
 
 def sequence(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out: str = "SEQUENCE",
              segment: Column | None = None, ties: bool = False) -> DataFrame:
     """1, 2, … within a group along a total order.
 
-    ``ties`` states that equal order values may get their numbers in any order.
+    ``ties`` states that equal order values may get their numbers in any order; many equal values are then cut apart by a
+    hash of the row.
     """
+    if ties and segment is None:
+        tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+        return sequence(tied, keys, [*order_by, "_tie"], out).drop("_tie")
     s = _Segmented(df, keys, order_by, segment)
     counts = s.summary(F.count(F.lit(1)).alias("_n"))
-    carry = counts.select(*s.groups, F.sum("_n").over(s.earlier).alias("_prior"))
+    carry = counts.select(*s.keys, "_seg", F.sum("_n").over(s.earlier).alias("_prior"))
     rows = s.df.withColumn("_i", F.row_number().over(s.window))
     number = (F.col("_i") + F.coalesce(F.col("_prior"), F.lit(0))).cast("bigint")
     return s.with_carry(rows, carry).select(*[c for c in s.names if c != out], number.alias(out))
@@ -104,10 +135,10 @@ def lags(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], cols: Sequ
         tails = (
             s.df.withColumn("_back", F.row_number().over(backwards))
             .filter(F.col("_back") <= k)
-            .groupBy(*s.groups)
+            .groupBy(*s.keys, "_seg")
             .agg(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("at"), *cols))).alias("_tail"))
         )
-    carry = tails.select(*s.groups, F.flatten(F.collect_list("_tail").over(s.nearest(k))).alias("_prev"))
+    carry = tails.select(*s.keys, "_seg", F.flatten(F.collect_list("_tail").over(s.nearest(k))).alias("_prev"))
     rows = s.df.withColumns({"_i": F.row_number().over(s.window)} | {
         f"_l{j}_{c}": F.lag(c, j).over(s.window) for c in cols for j in range(1, k + 1)
     })
@@ -125,8 +156,8 @@ def last_known(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], cols
                segment: Column | None = None, name: str = "{col}_prev") -> DataFrame:
     """The last non-null value before each row."""
     s = _Segmented(df, keys, order_by, segment)
-    last = s.summary(*[F.max_by(c, F.when(F.col(c).isNotNull(), _order(s.order_by))).alias(f"_e_{c}") for c in cols])
-    carry = last.select(*s.groups, *[F.last(f"_e_{c}", True).over(s.earlier).alias(f"_f_{c}") for c in cols])
+    last = s.summary(*[s.last_value(c).alias(f"_e_{c}") for c in cols])
+    carry = last.select(*s.keys, "_seg", *[F.last(f"_e_{c}", True).over(s.earlier).alias(f"_f_{c}") for c in cols])
     rows = s.df.withColumns({f"_p_{c}": F.last(c, True).over(s.before) for c in cols})
     out = [F.coalesce(f"_p_{c}", f"_f_{c}").alias(name.format(col=c)) for c in cols]
     return s.with_carry(rows, carry).select(*s.names, *out)
@@ -136,14 +167,13 @@ def fill_both(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], cols:
               segment: Column | None = None) -> DataFrame:
     """E5: nulls take the last known value, or the next one where none came before."""
     s = _Segmented(df, keys, order_by, segment)
-    order = _order(s.order_by)
     ends = []
     for c in cols:
-        ends.append(first_where(F.col(c), order).alias(f"_a_{c}"))
-        ends.append(F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_z_{c}"))
+        ends.append(first_where(F.col(c), s.order).alias(f"_a_{c}"))
+        ends.append(s.last_value(c).alias(f"_z_{c}"))
     edge = s.summary(*ends)
     carry = edge.select(
-        *s.groups,
+        *s.keys, "_seg",
         *[F.last(f"_z_{c}", True).over(s.earlier).alias(f"_ff_{c}") for c in cols],
         *[F.first(f"_a_{c}", True).over(s.later).alias(f"_bf_{c}") for c in cols],
     )
@@ -166,13 +196,9 @@ def days_since_start(df: DataFrame, keys: Sequence[str], date: str, out: str = "
 def _previous(df, keys, order_by, lagged, known, segment) -> DataFrame:
     """``<col>_lag1`` and last known ``<col>_prev`` together, on one shuffle of the rows."""
     s = _Segmented(df, keys, order_by, segment)
-    order = F.struct(*s.order_by)
-    edge = s.summary(
-        s.last_row(lagged).alias("_row"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_e_{c}") for c in known],
-    )
+    edge = s.summary(s.last_row(lagged).alias("_row"), *[s.last_value(c).alias(f"_e_{c}") for c in known])
     carry = edge.select(
-        *s.groups,
+        *s.keys, "_seg",
         F.lag("_row").over(s.chain).alias("_row"),
         *[F.last(f"_e_{c}", True).over(s.earlier).alias(f"_f_{c}") for c in known],
     )
