@@ -57,5 +57,28 @@ def test_run_equals_encoding_the_mixture(spark, folder):
         start += len(ids)
 
 
+def test_rows_without_id_repeats_and_shared_ids(spark, folder):
+    texts = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").head(30)]
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0]), (None, texts[0]), (None, texts[0]), (3, texts[1]), (3, texts[2]), (None, texts[3]), (None, texts[4]),
+            (None, texts[4])]
+    rows += [(7, f"{texts[5]} {item}"), (7, texts[6]), (None, f"{texts[7]} {item}"), (None, texts[8]), (9, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "x") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string")
+    near = P.STAGES[1][1](spark, docs, folder)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    got = sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=key)
+    assert got == sorted([(1, texts[0]), (None, texts[4]), *rows[5:8], *rows[10:]], key=key) and near.columns == docs.columns
+    clean = P.STAGES[2][1](spark, near, folder)
+    got = sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=key)
+    assert got == sorted([(1, texts[0]), (None, texts[4]), *rows[5:8], rows[11], *rows[13:]], key=key) and clean.columns == docs.columns
+
+
+def test_empty_table_passes_every_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 0")
+    for _, stage in P.STAGES[1:4]:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0
+
+
 def test_five_stages_in_order():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "decontamination", "source_mixing", "token_files"]

@@ -188,10 +188,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document that contains a benchmark item."""
-    (drop,) = private_names(docs, ["_drop"])
-    leaks = cut_lineage(search(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(drop)).distinct())
-    return docs.join(leaks, docs["doc_id"] == leaks[drop], "left_anti").select(*docs.columns)
+    """Drops every row whose text contains a benchmark item; rows are told apart by id, which may be null, and whole text."""
+    key, drop = private_names(docs, ["_key", "_drop"])
+    own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
+    keyed = docs.withColumn(key, F.sha2(F.concat(own, F.lit("\n"), F.col("text")), 256))
+    found = search(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = cut_lineage(found.select(F.col("doc_id").alias(drop)).distinct())
+    return keyed.join(leaks, keyed[key] == leaks[drop], "left_anti").select(*docs.columns)
 
 
 ORACLE = f"""

@@ -213,10 +213,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id in each group of near copies, and everything that links with nothing."""
-    (drop,) = private_names(docs, ["_drop"])
-    losers = join(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(drop)).distinct()
-    return docs.join(losers, docs["doc_id"].cast("bigint") == losers[drop], "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies, that of the smallest id, and every row that links with nothing.
+
+    Groups are found on row numbers, so rows without id and repeated rows count as well; a row without id stays only where
+    no other of its group has one.
+    """
+    (row,) = private_names(docs, ["_row"])
+    held = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = join(held.select(F.col(row).alias("doc_id"), "text")).filter("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    linked = cut_lineage(found.join(held.select(F.col(row).alias("row"), "doc_id"), "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = linked.groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    losers = cut_lineage(linked.join(stay, "row", "left_anti").select(F.col("row").alias("_drop")))
+    return held.join(losers, held[row] == losers["_drop"], "left_anti").select(*docs.columns)
 
 
 ORACLE = f"""
