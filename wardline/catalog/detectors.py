@@ -14,6 +14,7 @@ from wardline.models.iforest import IsolationForest
 from wardline.models.lof import LocalOutlierFactor
 from wardline.models.neighbours import knn_join
 from wardline.models.ocsvm import OneClassSVM
+from wardline.models.tree_shapley import path_shapley
 from wardline.operators.agg import classification_metrics
 from wardline.operators.sets import union_named
 from wardline.session import cut_lineage, scratch_path
@@ -156,7 +157,22 @@ def _day_vectors(spark, sf):
 def k8(spark, sf):
     rows = _day_vectors(spark, sf)
     model = IsolationForest(50, 0.1).fit(rows)
-    return explain.shapley(model.scorer(), rows, rows, ITEMS, n_background=8, hide=["error"])
+    return path_shapley(model, rows, rows, ITEMS, hide=["error"])
+
+
+@register(
+    "k8_shapley_summary",
+    sql("daily", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_null, CAST(1 AS BIGINT) AS n_bases FROM daily"),
+)
+def k8s(spark, sf):
+    """Attributions add up to the forest's own mean path length on every row."""
+    rows = _day_vectors(spark, sf)
+    model = IsolationForest(50, 0.1).fit(rows)
+    total = sum((F.col(c) for c in ITEMS), F.col("base"))
+    own = model.path_sums(rows, [model.n_trees]).select("row_id", (F.col("paths")[0] / model.n_trees).alias("path"))
+    joined = cut_lineage(path_shapley(model, rows, rows, ITEMS)).join(own, "row_id")
+    return joined.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total + F.col("path")) > 1e-9).alias("n_gaps"),
+                      F.count_if(total.isNull()).alias("n_null"), F.count_distinct(F.round("base", 9)).alias("n_bases"))
 
 
 @register(
