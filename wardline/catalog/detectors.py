@@ -8,7 +8,7 @@ from wardline.catalog.registry import register, rounded, sql_rounded as r
 from wardline.catalog.models import keyed_days
 from wardline.catalog.tables import metrics_sql
 from wardline.catalog.views import FEATS, FEAT_KEYS, ITEMS, feat, pred, sql, vec
-from wardline.models import explain, tune
+from wardline.models import explain, store, tune
 from wardline.models.base import load_model, to_vector
 from wardline.models.iforest import IsolationForest
 from wardline.models.lof import LocalOutlierFactor
@@ -128,6 +128,27 @@ def k5(spark, sf):
     return runs.select("config", "ord", "model_id", rounded("fbeta").alias("fbeta"), "anomalies_train", "anomalies_test", "true_anomalies")
 
 
+@register(
+    "k7_reload_best",
+    " UNION ALL ".join(f"SELECT '{c}' AS config, count(*) AS n, CAST(0 AS BIGINT) AS n_different, CAST(16 AS BIGINT) AS n_kept FROM embeddings" for c in ("raw", "squared")),
+)
+def k7_reload(spark, sf):
+    """The best detector of each configuration, loaded from the study's store, flags every row as it did in the study."""
+    root = scratch_path(spark, "models")
+    rows = vec(spark, sf).withColumn("label", (F.col("label") >= 8).cast("int"))
+    tables = {"raw": rows, "squared": rows.withColumn("features", F.transform("features", lambda x: x * x))}
+    runs, predictions = tune.sweep({c: (t, t) for c, t in tables.items()}, SMALL_GRIDS, landmarks=64, store=root)
+    best = cut_lineage(tune.select_best(runs).select("config", "model_id"))
+    kept = store.kept_models(spark, root).groupBy("config").agg(F.count_distinct("model_id").alias("n_kept"))
+    parts = []
+    for config, model in store.load_best(spark, root, best).items():
+        again = model.transform(tables[config].select("row_id", "features")).select("row_id", F.col("is_anomaly").alias("again"))
+        before = predictions.join(best, ["config", "model_id"]).filter(F.col("config") == config)
+        parts.append(before.join(again, "row_id").groupBy("config").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_anomaly") != F.col("again")).alias("n_different")))
+    return union_named(*parts).join(kept, "config")
+
+
 @register(
     "k6_evaluate",
     metrics_sql(f"SELECT model_id, config, {r('precision')} AS precision, {r('recall')} AS recall, {r('accuracy')} AS accuracy, {r('fbeta')} AS fbeta, "
