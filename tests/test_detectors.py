@@ -11,7 +11,7 @@ from wardline.models.base import load_model
 from wardline.models.explain import neighbour_deviation, shapley, shapley_by_table, shapley_summary
 from wardline.models.iforest import IsolationForest
 from wardline.models.lof import LocalOutlierFactor
-from wardline.models.ocsvm import OneClassSVM, fit_many, score_all
+from wardline.models.ocsvm import OneClassSVM, fit_many, grow_maps, score_all
 from wardline.session import cut_lineage, scratch_path
 
 PLANTED = 15
@@ -105,6 +105,26 @@ def test_svm_close_to_exact_dual(spark):
     model = OneClassSVM("rbf", nu, "scale", landmarks=250).fit(df)
     ours = np.array([r["score"] for r in model.transform(df).orderBy("row_id").collect()])
     assert np.corrcoef(ours, exact)[0, 1] > 0.99
+    best = -0.5 * a @ kernel @ a
+    assert model.params["converged"] and model.params["residual"] <= 0.05
+    weights = model.weights
+    z = model.map(x)
+    primal = min(0.5 * weights @ weights - t + np.maximum(t - z @ weights, 0).sum() / (nu * 250) for t in np.sort(z @ weights))
+    assert primal * model.map.scale**2 == pytest.approx(best, rel=0.06)
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "poly", "sigmoid"])
+def test_landmarks_grow_until_the_residual_is_small(spark, kernel):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 2)), 10, axis=0)  # 40 places, ten rows each
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id bigint, features array<double>")
+    maps, shares = grow_maps(df, [(kernel, 0.5)], 2048, 1e-6)
+    (kernel_map,), (share,) = maps.values(), shares.values()
+    assert len(kernel_map.landmarks) <= 40
+    rest = np.maximum(kernel_map.residual(x), 0).sum() / np.abs(kernel_map.own(x)).sum()
+    assert rest == pytest.approx(share, abs=1e-9) and (kernel == "sigmoid" or share <= 1e-6)
+    few, left = grow_maps(df, [(kernel, 0.5)], 3, 1e-6)
+    assert len(next(iter(few.values())).landmarks) == min(3, len(kernel_map.landmarks)) and next(iter(left.values())) >= share - 1e-9
 
 
 def test_svm_kernels_share_and_grid(spark, rows):
@@ -112,6 +132,7 @@ def test_svm_kernels_share_and_grid(spark, rows):
     fitted = fit_many(rows, grid, landmarks=32)
     scored = score_all(rows, fitted).agg(*[F.count_if(F.col("scores")[i] < m.offset) for i, m in enumerate(fitted)]).first()
     n = rows.count()
+    assert all(m.params["gap"] <= 5e-3 for m in fitted)
     for g, flagged in zip(grid, scored):
         assert abs(flagged - g["nu"] * n) <= 2
 

@@ -119,7 +119,7 @@ SMALL_GRIDS = {
 def _sweep(spark, sf):
     rows = vec(spark, sf).withColumn("label", (F.col("label") >= 8).cast("int"))
     squared = rows.withColumn("features", F.transform("features", lambda x: x * x))
-    return tune.sweep({"raw": (rows, rows), "squared": (squared, squared)}, SMALL_GRIDS, landmarks=64)
+    return tune.sweep({"raw": (rows, rows), "squared": (squared, squared)}, SMALL_GRIDS)
 
 
 @register("k5_sweep")
@@ -137,7 +137,7 @@ def k7_reload(spark, sf):
     root = scratch_path(spark, "models")
     rows = vec(spark, sf).withColumn("label", (F.col("label") >= 8).cast("int"))
     tables = {"raw": rows, "squared": rows.withColumn("features", F.transform("features", lambda x: x * x))}
-    runs, predictions = tune.sweep({c: (t, t) for c, t in tables.items()}, SMALL_GRIDS, landmarks=64, store=root)
+    runs, predictions = tune.sweep({c: (t, t) for c, t in tables.items()}, SMALL_GRIDS, store=root)
     best = cut_lineage(tune.select_best(runs).select("config", "model_id"))
     kept = store.kept_models(spark, root).groupBy("config").agg(F.count_distinct("model_id").alias("n_kept"))
     parts = []
@@ -225,7 +225,7 @@ def k10(spark, sf):
 @register("a10_save_load_models")
 def a10(spark, sf):
     rows = vec(spark, sf).select("row_id", "features")
-    fitted = [IsolationForest(20, 0.1).fit(rows), OneClassSVM("rbf", 0.2, landmarks=32).fit(rows), LocalOutlierFactor(5, 0.1).fit(rows)]
+    fitted = [IsolationForest(20, 0.1).fit(rows), OneClassSVM("rbf", 0.2).fit(rows), LocalOutlierFactor(5, 0.1).fit(rows)]
     parts = []
     for model in fitted:
         loaded = load_model(spark, model.save(scratch_path(spark, model.KIND)))
