@@ -1,5 +1,6 @@
 import html
 import re
+import tracemalloc
 
 from wardline.llm import html_text as H
 
@@ -92,3 +93,14 @@ def test_long_comments_and_teasers_stay_out():
         assert H.extract(f"<body><article><p>{LONG * 2}</p><p>{LONG}</p></article>{comments}</body>") == f"{(LONG * 2).strip()}\n{text}"
     comments = f"<section id=comments>{f'<p>{LONG}</p>' * 6}</section>"
     assert H.extract(f"<body><article><p>{LONG}</p><p>{LONG}</p></article>{comments}</body>") == f"{text}\n{text}"
+
+
+def test_deep_nesting_takes_memory_in_proportion():
+    def peak(depth):
+        tracemalloc.start()
+        assert H.extract("<article>" + "<div>" * depth + LONG + "</div>" * depth + "</article>") == LONG.strip()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(16_000) < 2.5 * peak(8_000)

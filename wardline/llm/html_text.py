@@ -66,9 +66,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：]")
 class Node:
     __slots__ = ("tag", "path", "marked", "worded", "skipped", "parent", "link", "size")
 
-    def __init__(self, tag: str, parent: "Node | None", marked: bool, worded: bool = False):
+    def __init__(self, tag: str, parent: "Node | None", marked: bool, worded: bool = False, paths: "dict[tuple[int, str], int] | None" = None):
         self.tag, self.parent = tag, parent
-        self.path = tag if parent is None else parent.path if tag in INLINE else f"{parent.path}/{tag}"
+        #: The page's number of the tag path; ``paths`` numbers pairs of the parent's path and a tag.
+        self.path = 0 if parent is None else parent.path if tag in INLINE else paths.setdefault((parent.path, tag), len(paths) + 1)
         #: The element's own marks; whether they leave it out is known at the page's end.
         self.marked, self.worded, self.skipped = marked, worded, False
         self.link = tag == "a" or (parent is not None and parent.link)
@@ -115,7 +116,7 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, by the tag rules that matter for text: implied ends, raw text, unclosed elements."""
     root = Node("", None, False)
     nodes, stack, out, block, at, size = [root], [root], [], None, 0, len(page)
-    inside = 0
+    inside, paths = 0, {}
 
     def close(k: int) -> None:
         nonlocal inside
@@ -207,7 +208,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k].tag not in INLINE:
                     break
         whole = tag in ("article", "main")
-        node = Node(tag, stack[-1], marked(tag, m[3], inside > 0), whole and worded(m[3]))
+        node = Node(tag, stack[-1], marked(tag, m[3], inside > 0), whole and worded(m[3]), paths)
         nodes.append(node)
         stack.append(node)
         inside += whole
@@ -278,7 +279,7 @@ def extract(page: str | None) -> str:
             linked.append(min(links, len(text)))
     if not found:
         return ""
-    ratio: dict[str, list[float]] = {}
+    ratio: dict[int, list[float]] = {}
     for (block, text), links in zip(found, linked):
         sums = ratio.setdefault(block.node.path, [0.0, 0.0, 0.0, 0.0])
         for k, v in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), links)):
