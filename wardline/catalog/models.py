@@ -39,13 +39,12 @@ def i2(spark, sf):
 
 @register("i3_chained_impute")
 def i3(spark, sf):
-    return impute.ChainedImputer(["purchase", "click", "view"], rounds=2).fit_transform(keyed_days(spark, sf), "row_id")
+    return impute.ChainedImputer(ITEMS, rounds=20, datasets=3).fit_transform(keyed_days(spark, sf), "row_id")
 
 
 @register("i4_chained_impute_grouped")
 def i4(spark, sf):
-    imputer = impute.ChainedImputer(["purchase", "click"], rounds=1, learner="forest", group_cols=["pid"])
-    return imputer.fit_transform(keyed_days(spark, sf), "row_id")
+    return impute.ChainedImputer(ITEMS, rounds=20, group_cols=["pid"]).fit_transform(keyed_days(spark, sf), "row_id")
 
 
 @register("i5_missingness_model")
