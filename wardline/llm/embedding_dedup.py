@@ -2,12 +2,13 @@
 
 Vectors of equal label are compared only. Every tree splits its points by random directions at the median;
 points within a margin of the split go to both sides (spill), so close points rarely part. Trees are fitted
-on a bounded sample, all vectors are routed down them, and leaves that came out too large get trees of their
-own in the next round. Pairs within a leaf are verified by cosine in double precision; a pair that shares
+on a bounded sample, all vectors are routed down them, and a leaf that came out too large goes on in the next round as
+the same tree: one subtree, fitted on a sample of that leaf and only as deep as it needs. So a vector has as many codes as
+trees times the spill of one path. Pairs within a leaf are verified by cosine in double precision; a pair that shares
 several leaves counts in the first one only. Components of the links found are joined across trees.
 
-Equal vectors are one point with a number of members. Leaves that cannot be split any more (the last round,
-or many points at one place) are cut into pairs of blocks, so that no task holds more than two blocks.
+Equal vectors are one point with a number of members. Leaves that a round made no smaller (many points at one place) are
+cut into pairs of blocks, so that no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ TREES = 6
 #: Points of the sample a tree is fitted on, per label or leaf, and per leaf of that tree.
 SAMPLE = 4096
 SAMPLE_LEAF = 64
-#: A leaf of more points gets trees of its own in the next round.
-LEAF = 2048
-ROUNDS = 3
-BLOCK = 512
+#: A leaf of more points is split further in the next round, unless that round left it this share of its parent or more.
+LEAF = 4096
+STUCK = 0.9
+#: Share of a node's points that reach one child, spill included; sets the depth of a subtree. A leaf still too large goes on.
+CHILD = 0.62
+BLOCK = 1024
 #: Half the spill zone, in standard deviations of the projected distance of two points at the threshold.
 SPILL = 0.8
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -101,19 +104,22 @@ def _matrix(column) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def grow(points: DataFrame, round_no: int, threshold: float, trees: int, sample: int) -> DataFrame:
-    """Route points (id, v, group, codes) down fresh trees per group; adds tree and leaf to the rows."""
+def grow(points: DataFrame, round_no: int, threshold: float, trees: int, sample: int, leaf: int) -> DataFrame:
+    """Route points (id, v, dim, group) down the trees of their group: (id, group, tree, leaf). First rounds split a sample down to
+    ``SAMPLE_LEAF``, later ones only until about ``leaf`` points of the group are left."""
     spark = points.sparkSession
     seed = F.lit(round_no)
     sizes = points.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     # A sample of about ``sample`` points per group, spread over trees: each tree fits on its own part.
     drawn = points.join(sizes, "group").filter(
         F.pmod(F.xxhash64("id", seed, F.lit(5)), F.lit(1 << 30)) < F.lit(float(sample) * (1 << 30)) / F.col("n"))
-    fitted_on = drawn.select("group", "dim", "v", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    fitted_on = drawn.select("group", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
 
     def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
         group, tree = int(key[0]), int(key[1])
-        return pd.DataFrame({"group": [group], "tree": [tree], "cuts": [fit_tree(_matrix(frame["v"]), tree, group)]})
+        levels = np.ceil(np.log(leaf / frame["n"].iloc[0]) / np.log(CHILD)) if round_no else 24
+        small = max(SAMPLE_LEAF, int(1.1 * len(frame) / 2.0 ** levels))
+        return pd.DataFrame({"group": [group], "tree": [tree], "cuts": [fit_tree(_matrix(frame["v"]), tree, group, small)]})
 
     model = cut_lineage(fitted_on.groupBy("group", "tree").applyInPandas(fit, "group bigint, tree int, cuts array<double>"))
     packed = model.groupBy("group").agg(F.collect_list(F.struct("tree", "cuts")).alias("forest"))  # a bounded row per group
@@ -181,8 +187,35 @@ def leaf_pairs(lo: int, hi: int, rows: pa.Table, threshold: float, rank: int) ->
     ], schema=LINKS)
 
 
+def place(classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """The final leaves of all points (id, v, dim, group): (id, code, n points of the leaf)."""
+    points, parents, placed, number = classes.select("id", "v", "dim", "group"), None, [], 0
+    while True:
+        routed = cut_lineage(grow(points, number, threshold, 1 if number else trees, sample, leaf))
+        sizes = routed.groupBy("group", "tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
+        if parents is not None:
+            sizes = sizes.join(parents, "group")
+        stuck = F.col("n") >= F.col("parent") * STUCK if number else F.lit(False)
+        # A code names a leaf of some round; groups of later rounds are codes of earlier leaves.
+        sizes = cut_lineage(sizes.select(
+            "group", "tree", "leaf", "n", ((F.col("n") > leaf) & ~stuck).alias("more"),
+            F.xxhash64("group", "tree", "leaf", F.lit(number)).bitwiseAND(F.lit((1 << 62) - 1)).alias("code")))
+        coded = cut_lineage(routed.join(sizes, ["group", "tree", "leaf"]).select("id", "code", "n", "more"))
+        placed.append(coded.filter(~F.col("more")).select("id", "code", "n"))
+        rest = coded.filter("more").select("id", F.col("code").alias("group"))
+        if rest.isEmpty():
+            break
+        parents = sizes.filter("more").select(F.col("code").alias("group"), F.col("n").alias("parent"))
+        points = rest.join(classes.select("id", "v", "dim"), "id")
+        number += 1
+    leaves = placed[0]
+    for part in placed[1:]:
+        leaves = leaves.unionByName(part)
+    return leaves
+
+
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, sample: int = SAMPLE,
-          leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
+          leaf: int = LEAF) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors (vec_id bigint, embedding, label).
 
     ``n_links``: other vectors of the same label with a cosine of at least the threshold. A vector that is
@@ -194,24 +227,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
     classes = cut_lineage(
         good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("members"))
         .withColumn("dim", F.size("v")).withColumn("group", F.xxhash64("label", "dim")))
-    points, rest, placed = classes.select("id", "v", "dim", "group"), None, []
-    for number in range(rounds):
-        routed = cut_lineage(grow(points, number, threshold, trees, sample))
-        sizes = routed.groupBy("group", "tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
-        # A code names a leaf of some round; groups of later rounds are codes of earlier leaves.
-        coded = routed.join(sizes, ["group", "tree", "leaf"]).withColumn("code", F.xxhash64("group", "tree", "leaf", F.lit(number)).bitwiseAND(F.lit((1 << 62) - 1)))
-        last = number == rounds - 1
-        final = coded if last else coded.filter(F.col("n") <= leaf)
-        placed.append(cut_lineage(final.select("id", "code", "n")))
-        if last:
-            break
-        rest = cut_lineage(coded.filter(F.col("n") > leaf).select("id", F.col("code").alias("group")))
-        if rest.isEmpty():
-            break
-        points = rest.join(classes.select("id", "v", "dim"), "id")
-    leaves = placed[0]
-    for part in placed[1:]:
-        leaves = leaves.unionByName(part)
+    leaves = place(classes, threshold, trees, sample, leaf)
     codes = leaves.groupBy("id").agg(F.collect_list("code").alias("codes"))  # bounded by trees and spill
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int").alias("block")
