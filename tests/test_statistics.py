@@ -155,3 +155,14 @@ def test_density_integrates_to_one(spark):
     df = spark.range(500).select((F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0).alias("x"))
     g = agg.density_grid(df, "x", 200).orderBy("i").collect()
     assert sum(r["density"] for r in g) * (g[1]["x"] - g[0]["x"]) == pytest.approx(1.0, abs=0.01)
+
+
+def test_density_equals_the_direct_sum(spark):
+    """Binned moments against the sum over all values, with a far outlier and repeated values."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=700), np.repeat(0.25, 200), [60.0]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    got = agg.density_grid(df, "x", 120, transform="none").orderBy("i").toPandas()
+    width = x.std(ddof=1) * len(x) ** -0.2
+    direct = np.exp(-0.5 * ((got["x"].to_numpy()[:, None] - x[None, :]) / width) ** 2).sum(axis=1) / (len(x) * width * np.sqrt(2 * np.pi))
+    assert len(got) == 120 and np.abs(got["density"] - direct).max() < 1e-13 / width

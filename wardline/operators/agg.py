@@ -178,22 +178,37 @@ def box_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
 def density_grid(df: DataFrame, col: str, n_grid: int = 200, transform: str = "log1p", cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density on a grid, bandwidth by Scott's rule.
 
-    Equal values are counted first; each count then adds to ``n_grid`` partial sums on the map side.
+    One aggregate counts the values into bins of 1/16 bandwidth, with the first eight moments of their distance u from the bin's
+    centre, in bandwidths. Around a centre at distance t the kernel is exp(-t^2 / 2) times the sum of He_k(t) u^k / k!, so a bin acts on a grid
+    point as its values do: the ninth term, at most He_8(t) exp(-t^2 / 2) / (8! 32^8), is below 3e-15 of the kernel's peak. A bin reaches the grid points within nine
+    bandwidths; what lies beyond is below 3e-18 of the peak. The number of bins depends on the range, not on the rows.
     """
     x = {"log1p": F.log1p(col), "none": F.col(col).cast("double")}[transform]
-    counts = df.select(x.alias("x")).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    stats = df.select(x.alias("x")).agg(
+    values = df.select(x.alias("x")).filter("x is not null")
+    stats = values.agg(
         F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")
     ).first()
     width = stats["sd"] * stats["n"] ** -0.2
     low, high = stats["lo"] - cut * width, stats["hi"] + cut * width
-    step = (high - low) / (n_grid - 1)
-    points = counts.select("x", "w", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"))
-    at = F.lit(low) + F.col("i") * F.lit(step)
-    kernel = F.exp(-0.5 * F.pow((at - F.col("x")) / F.lit(width), 2)) * F.col("w")
-    total = points.groupBy("i").agg(F.sum(kernel).alias("s"))
+    step, bins, reach = (high - low) / (n_grid - 1), 16, 9.0
+    scaled = values.select(((F.col("x") - F.lit(low)) / F.lit(width)).alias("y"))
+    placed = scaled.withColumn("b", F.floor(F.col("y") * bins)).withColumn("u", F.col("y") - (F.col("b") + 0.5) / bins)
+    moments = placed.groupBy("b").agg(*[F.sum(F.pow("u", F.lit(k)) / F.lit(math.factorial(k))).alias(f"m{k}") for k in range(8)])
+    centre = (F.col("b") + 0.5) / bins
+    first = F.greatest(F.ceil((centre - reach) * width / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((centre + reach) * width / step), F.lit(n_grid - 1)).cast("int")
+    near = moments.withColumn("centre", centre).filter(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
+    t = F.col("i") * F.lit(step / width) - F.col("centre")
+    near = near.withColumn("t", t)
+    hermite = [F.lit(1.0), F.col("t")]
+    for k in range(1, 7):
+        hermite.append(F.col("t") * hermite[k] - F.lit(float(k)) * hermite[k - 1])
+    kernel = F.exp(-0.5 * F.col("t") * F.col("t")) * sum((F.col(f"m{k}") * hermite[k] for k in range(1, 8)), F.col("m0"))
+    total = near.groupBy("i").agg(F.sum(kernel).alias("s"))
     scale = 1.0 / (stats["n"] * width * math.sqrt(2.0 * math.pi))
-    return total.select("i", at.alias("x"), (F.col("s") * F.lit(scale)).alias("density"))
+    grid = df.sparkSession.range(n_grid).select(F.col("id").cast("int").alias("i"))
+    return grid.join(total, "i", "left").select(
+        "i", (F.lit(low) + F.col("i") * F.lit(step)).alias("x"), (F.coalesce("s", F.lit(0.0)) * F.lit(scale)).alias("density"))
 
 
 def unique_sorted(df: DataFrame, col: str) -> DataFrame:
