@@ -205,3 +205,21 @@ def test_draws_reach_the_sample_size_on_very_large_tables():
     for n in (300, 10**6, 10**12, 10**15):
         share = iforest.draw_bar(n, 256) / iforest.HASH_SPACE
         assert 256 <= share * n * (1 + 1e-9) < 257
+
+
+def test_svm_pass_holds_few_kernel_values_and_sums_all_rows(spark):
+    from wardline.models import ocsvm
+
+    x = np.random.default_rng(12).normal(size=(2500, 3))
+    parts = list(ocsvm._blocks(x, 2048))
+    assert max(len(p) for p in parts) * 2048 <= ocsvm.CELLS and np.array_equal(np.concatenate(parts), x)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "row_id bigint, features array<double>")
+    maps = {i: ocsvm.KernelMap(kernel, 0.3, x[:300]) for i, kernel in enumerate(("rbf", "poly"))}
+    rng = np.random.default_rng(13)
+    points = {fit: (key, rng.normal(size=300), 0.4, 0.2) for fit, key in enumerate((0, 1, 0))}
+    sums = ocsvm._data_pass(df, spark.sparkContext.broadcast(maps), points)
+    for fit, (key, w, rho, smoothing) in points.items():
+        k = maps[key].scaled(x)
+        value, slope = ocsvm._hinge(rho - k @ w, smoothing)
+        wanted = [value.sum(), np.maximum(rho - k @ w, 0).sum(), slope.sum(), *(k.T @ slope)]
+        assert np.allclose(sums[fit], wanted, rtol=1e-9, atol=1e-9 * np.abs(wanted).max())
