@@ -223,3 +223,18 @@ def test_svm_pass_holds_few_kernel_values_and_sums_all_rows(spark):
         value, slope = ocsvm._hinge(rho - k @ w, smoothing)
         wanted = [value.sum(), np.maximum(rho - k @ w, 0).sum(), slope.sum(), *(k.T @ slope)]
         assert np.allclose(sums[fit], wanted, rtol=1e-9, atol=1e-9 * np.abs(wanted).max())
+
+
+def test_flat_growth_equals_growth_by_tuples_and_copies_no_wide_rows(monkeypatch):
+    import tracemalloc
+
+    x = np.random.default_rng(14).normal(size=(4000, 32))
+    x[::5] = x[0]
+    monkeypatch.setattr(iforest, "COPIED", 1 << 10)
+    wanted = iforest.grow(x, 42, 3, 1, 12)
+    tracemalloc.start()
+    got = iforest.grow_table(x, 42, 3, 1, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [tuple(r.values()) for r in got.to_pylist()] == wanted
+    assert peak < x.nbytes
