@@ -238,3 +238,11 @@ def test_flat_growth_equals_growth_by_tuples_and_copies_no_wide_rows(monkeypatch
     tracemalloc.stop()
     assert [tuple(r.values()) for r in got.to_pylist()] == wanted
     assert peak < x.nbytes
+
+
+def test_train_flags_of_a_forest_equal_its_transform(spark, rows):
+    model = IsolationForest(8, 0.1, seed=42).fit(rows)
+    names = ["row_id", "score", "decision", "is_anomaly"]
+    assert sorted(model.train_flags().select(*names).collect()) == sorted(model.transform(rows).select(*names).collect())
+    with pytest.raises(ValueError):
+        model.with_trees(4, 0.1, 0.0).train_flags()
