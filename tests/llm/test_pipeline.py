@@ -9,6 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from wardline.llm import decontamination
+from wardline.llm.common import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -80,5 +82,24 @@ def test_empty_table_passes_every_stage(spark, folder):
         assert docs.count() == 0
 
 
+def test_whole_texts_stay_in_their_tasks(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(70)  # more parts than a folder of row numbers holds
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        docs = cut_lineage(docs)
+        near = P.STAGES[1][1](spark, docs, folder)
+        clean = P.STAGES[2][1](spark, docs, folder)
+        blocks = decontamination.stage(spark, docs, folder, item_bytes=100)  # several blocks, all but one without an item
+        for out in (near, clean, blocks):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan
+        everyone = set(range(66))
+        assert everyone - {r["doc_id"] for r in near.collect()} == {60, 61}
+        assert everyone - {r["doc_id"] for r in clean.collect()} == everyone - {r["doc_id"] for r in blocks.collect()} == {65}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
 def test_five_stages_in_order():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "decontamination", "source_mixing", "token_files"]

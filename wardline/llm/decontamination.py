@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm.common import cut_lineage, private_names, table
+from wardline.llm.exchange import listed
 from wardline.llm.shingles import WIDTH, Words, seeds, slices
 
 THRESHOLD = 0.8
@@ -130,31 +132,62 @@ def windows_hit(hashes: np.ndarray, bounds: np.ndarray, index: ItemIndex) -> set
     return found
 
 
+def hits(texts: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, float]]:
+    """(text, item, containment) of the items contained in texts, by position."""
+    for i, j in slices(texts):
+        words = Words(texts.slice(i, j - i))
+        hashes, bounds = words.shingles()
+        long_enough = np.diff(words.bounds) >= WIDTH
+        for text, item in sorted(windows_hit(hashes, bounds, index) | short_hit(hashes, bounds, index)):
+            if long_enough[text]:
+                own = hashes[bounds[text] : bounds[text + 1]]
+                share = np.isin(index.sets[item], own).mean()
+                if share >= index.threshold - 1e-12:
+                    yield i + text, item, float(share)
+
+
 def _search(docs: DataFrame, index: ItemIndex, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"]
-            for i, j in slices(texts):
-                words = Words(texts.slice(i, j - i))
-                hashes, bounds = words.shingles()
-                long_enough = np.diff(words.bounds) >= WIDTH
-                rows, items, shares = [], [], []
-                for text, item in sorted(windows_hit(hashes, bounds, index) | short_hit(hashes, bounds, index)):
-                    if long_enough[text]:
-                        own = hashes[bounds[text] : bounds[text + 1]]
-                        share = np.isin(index.sets[item], own).mean()
-                        if share >= index.threshold - 1e-12:
-                            rows.append(i + text)
-                            items.append(index.ids[item])
-                            shares.append(float(share))
-                if rows:
-                    kept = [batch[c].take(pa.array(rows)) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(items, pa.int64()), pa.array(shares)], [*keep, "item_id", "containment"])
+            found = list(hits(batch["text"], index))
+            if found:
+                rows, items, shares = zip(*found)
+                kept = [batch[c].take(pa.array(rows)) for c in keep]
+                ids = pa.array([index.ids[item] for item in items], pa.int64())
+                yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(shares)], [*keep, "item_id", "containment"])
 
     schema = docs.select(*keep, F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("containment")).schema
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
+def _without(docs: DataFrame, index: ItemIndex) -> DataFrame:
+    """The rows whose text contains no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, _, _ in hits(batch["text"], index)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def item_blocks(items: DataFrame, threshold: float, recall: float, item_bytes: int) -> tuple[int, Iterator[ItemIndex]]:
+    """Number of blocks of the query set, and the indexes of those that hold an item, each of about item_bytes of text."""
+    usable = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // item_bytes))
+    held = cut_lineage(usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
+
+    def indexes() -> Iterator[ItemIndex]:
+        for block in range(blocks):
+            rows = held.filter(F.col("block") == block).orderBy("item_id").collect()
+            if rows:
+                yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], threshold, recall)
+
+    return blocks, indexes()
+
+
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
            item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, containment): items (item_id, text) contained in documents (doc_id, text).
@@ -162,18 +195,11 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, reca
     A null text contains nothing, an item of fewer than five words has no five-word shingle and is never found,
     and neither is one without id. Repeated rows give repeated findings. No item or no document: no row.
     """
-    spark = docs.sparkSession
-    usable = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // item_bytes))
-    held = cut_lineage(usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
+    blocks, indexes = item_blocks(items, threshold, recall, item_bytes)
     parts = []
-    for block in range(blocks):  # about item_bytes of text each
-        rows = held.filter(F.col("block") == block).orderBy("item_id").collect()
-        if rows:
-            index = ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], threshold, recall)
-            found = _search(docs.select("doc_id", "text"), index, ["doc_id"])
-            parts.append(cut_lineage(found) if blocks > 1 else found)
+    for index in indexes:
+        found = _search(docs.select("doc_id", "text"), index, ["doc_id"])
+        parts.append(cut_lineage(found) if blocks > 1 else found)
     if not parts:
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("containment")).filter(F.lit(False))
     out = parts[0]
@@ -187,14 +213,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every row whose text contains a benchmark item; rows are told apart by id, which may be null, and whole text."""
-    key, drop = private_names(docs, ["_key", "_drop"])
-    own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
-    keyed = docs.withColumn(key, F.sha2(F.concat(own, F.lit("\n"), F.col("text")), 256))
-    found = search(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = cut_lineage(found.select(F.col("doc_id").alias(drop)).distinct())
-    return keyed.join(leaks, keyed[key] == leaks[drop], "left_anti").select(*docs.columns)
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """Drops every row whose text contains a benchmark item. Rows stay in their tasks and no text is shuffled.
+
+    With several blocks of items the documents are written once with row numbers, and the numbers found in any block are dropped.
+    """
+    blocks, indexes = item_blocks(table(spark, sf_dir, "benchmark"), THRESHOLD, RECALL, item_bytes)
+    if blocks == 1:
+        for index in indexes:
+            docs = _without(docs, index)
+        return docs
+    (row,) = private_names(docs, ["_row"])
+    held = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = [cut_lineage(_search(held.select(row, "text"), index, [row]).select(row).distinct()) for index in indexes]
+    return held.filter(~listed(row, reduce(DataFrame.union, found).distinct())).select(*docs.columns)
 
 
 ORACLE = f"""

@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
@@ -159,3 +160,35 @@ def may_repeat(held: DataFrame, row: str, key: str, per_key: int, hashes: int) -
         return rows.__class__(out)
 
     return test(row, key)
+
+
+@lru_cache(maxsize=4)
+def _numbers(root: str, part: int) -> np.ndarray:
+    """The ascending listed row numbers of a part."""
+    where, path = open_fs(f"{root}/folder={part // FOLDER}")
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return np.zeros(0, np.int64)
+    found = pq.read_table(path, columns=["row"], filesystem=where, partitioning=None, filters=[("part", "=", part)])
+    return np.unique(found["row"].to_numpy())
+
+
+def listed(row: str, rows: DataFrame) -> Column:
+    """A boolean column for a written table: whether its row number is among rows, a table of row numbers alone.
+
+    row is the table's monotonically_increasing_id at the time of writing. Numbers are laid out by groups of partitions in the shared
+    folder and read by the tasks that hold the rows, so whatever else the table has, only numbers are shuffled.
+    """
+    root = scratch_path(rows.sparkSession, "listed")
+    numbers = rows.toDF("row").filter("row IS NOT NULL").withColumn("part", F.shiftright("row", _ROW_BITS))
+    numbers = numbers.withColumn("folder", F.floor(F.col("part") / FOLDER))
+    numbers.repartition("folder").sortWithinPartitions("folder", "part", "row").write.partitionBy("folder").parquet(root)
+
+    @F.pandas_udf(BooleanType())
+    def test(numbers):
+        at, out = numbers.to_numpy(), np.zeros(len(numbers), bool)
+        for part in np.unique(at >> _ROW_BITS).tolist():
+            own = at >> _ROW_BITS == part
+            out[own] = np.isin(at[own], _numbers(root, part))
+        return numbers.__class__(out)
+
+    return test(row)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm.common import cut_lineage, pair_blocks, private_names, table
 from wardline.llm.components import components
+from wardline.llm.exchange import listed
 from wardline.llm.shingles import Words, mix, seeds, signatures, slices
 
 THRESHOLD = 0.8
@@ -151,14 +152,15 @@ def compare(band: int, block_lo: int, block_hi: int, frame: pd.DataFrame, thresh
     })
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, numbered: bool = False) -> DataFrame:
     """(doc_id, n_links, class_id, kept), one row per row of docs (doc_id bigint, text).
 
     ``n_links``: other documents with a Jaccard index of at least the threshold; ``class_id``: the smallest
     doc_id reachable by links, itself included; ``kept``: whether it is that document. A text without words
     (null too) links with nothing; a text of one to four words links with those of equal words. Documents must
     have distinct ids: rows that repeat an id count as copies of it if their texts are equal, and a row of null
-    id links with nothing and is kept, as is any null text.
+    id links with nothing and is kept, as is any null text. ``numbered``: docs is a written table and doc_id its row
+    number (see ``exchange.listed``), so texts that are not compared stay where they are.
     """
     bands, rows = banding(threshold, recall)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
@@ -182,9 +184,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
     units = units.select("rep", "band", "hash", own.alias("block"), F.col("unit.lo").alias("lo"), F.col("unit.hi").alias("hi"))
     candidates = cut_lineage(spread.join(buckets, ["band", "hash"], "left_semi").select("rep").distinct().join(classes, "rep"))
-    # Rows that repeat an id may differ in text: the text must be the class's own.
-    texts = slim.join(candidates.select("rep"), F.col("id") == F.col("rep"), "left_semi")
-    texts = cut_lineage(texts.groupBy("id").agg(F.max("text").alias("text")).withColumnRenamed("id", "rep"))
+    if numbered:
+        texts = cut_lineage(slim.filter(listed("id", candidates.select("rep"))).withColumnRenamed("id", "rep"))
+    else:
+        # Rows that repeat an id may differ in text: the text must be the class's own.
+        texts = slim.join(candidates.select("rep"), F.col("id") == F.col("rep"), "left_semi")
+        texts = cut_lineage(texts.groupBy("id").agg(F.max("text").alias("text")).withColumnRenamed("id", "rep"))
     loaded = units.join(texts.join(candidates.select("rep", "members", "bands"), "rep"), "rep")
 
     def unit(key, frame: pd.DataFrame) -> pd.DataFrame:
@@ -216,16 +221,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, that of the smallest id, and every row that links with nothing.
 
     Groups are found on row numbers, so rows without id and repeated rows count as well; a row without id stays only where
-    no other of its group has one.
+    no other of its group has one. Rows are dropped in place: of the texts only those that are compared are shuffled.
     """
     (row,) = private_names(docs, ["_row"])
     held = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = join(held.select(F.col(row).alias("doc_id"), "text")).filter("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    found = join(held.select(F.col(row).alias("doc_id"), "text"), numbered=True).filter("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
     linked = cut_lineage(found.join(held.select(F.col(row).alias("row"), "doc_id"), "row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     stay = linked.groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    losers = cut_lineage(linked.join(stay, "row", "left_anti").select(F.col("row").alias("_drop")))
-    return held.join(losers, held[row] == losers["_drop"], "left_anti").select(*docs.columns)
+    losers = linked.join(stay, "row", "left_anti").select("row")
+    return held.filter(~listed(row, losers)).select(*docs.columns)
 
 
 ORACLE = f"""
