@@ -85,6 +85,25 @@ def test_spearman(skewed):
     assert got["x", "x"] == pytest.approx(1.0)
 
 
+def test_spearman_keeps_rows_wide(spark, skewed):
+    df, x, y = skewed
+    df = df.withColumn("z", F.col("y") * 7 + F.col("id") / 1000.0)  # hardly any value twice
+    gap = df.select("id", F.lit(None).cast("double").alias("x"), "y", "z").limit(1).withColumn("id", F.lit(-1).cast("bigint"))
+    df = df.select("id", "x", "y", "z").unionByName(gap)  # a row with a null takes no part
+    z = np.array([r["z"] for r in df.filter("id >= 0").orderBy("id").collect()])
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size in (least, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            out = agg.corr_matrix(df, ["x", "y", "z"], "spearman", ["id"])
+            assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+            got = {(r["x"], r["y"]): r["r"] for r in out.collect()}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+        for (a, v), (b, w) in ((p, q) for p in (("x", x), ("y", y), ("z", z)) for q in (("x", x), ("y", y), ("z", z))):
+            assert got[a, b] == pytest.approx(np.corrcoef(_ranks(v), _ranks(w))[0, 1])
+
+
 def test_mann_whitney(skewed):
     df, x, _ = skewed
     r = stats.mann_whitney(df.filter("side = 0"), df.filter("side = 1"), ["x"]).first()

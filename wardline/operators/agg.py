@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.operators.quantiles import exact_quantiles
-from wardline.operators.rank import average_ranks
+from wardline.operators.rank import rank_columns
 from wardline.operators.window import sequence
 
 
@@ -125,20 +125,14 @@ def best_per_type(df: DataFrame, by: Sequence[str], model_id: str, score: str, o
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", ids: Sequence[str] = ()) -> DataFrame:
     """Correlation matrix in long form (x, y, r).
 
-    Pearson is one aggregate over all pairs of columns. Spearman replaces values by average ranks,
-    which needs a row key (``ids``) to put the ranks of a row together again.
+    Pearson is one aggregate over all pairs of columns. Spearman replaces values by average ranks;
+    a row key (``ids``) deals rows of frequent values to tasks.
     """
     cols = list(cols)
     if method == "spearman":
         if not ids:
             raise ValueError("spearman needs a unique row key")
-        df = df.dropna(subset=cols)
-        long = df.unpivot(list(ids), cols, "feature", "v")
-        ranks = average_ranks(long, ["feature"], "v").select("feature", "v", "rank")
-        ranked = long.join(ranks, ["feature", "v"])
-        df = ranked.groupBy(*ids).agg(
-            *[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in cols]
-        )
+        df = rank_columns(df, cols, ids)
     elif method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
