@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.models.iforest import Forest, IsolationForest, IsolationForestModel
-from wardline.models.tree_shapley import path_shapley
+from wardline.models.tree_shapley import Cuts, Leaf, leaf_boxes, path_shapley
 
 COLS = [f"f{i}" for i in range(6)]
 
@@ -69,3 +69,18 @@ def test_hidden_missing_and_single_leaf(spark, fitted):
     alone = path_shapley(leaf, rows.limit(2), rows, COLS).collect()
     assert all(r["base"] < 0 and all(r[c] == 0.0 for c in COLS) for r in alone)
     assert path_shapley(model, rows.limit(0), rows, COLS).collect() == []
+
+
+def test_leaves_of_a_tree_share_its_cuts(fitted):
+    x, _, model = fitted
+    x = np.vstack([x, [[np.nan] * 6, [np.inf] * 6, [-np.inf] * 6]])
+    nodes = model.nodes.filter("tree = 0").toPandas()
+    cuts, met = Cuts(x), []
+    for node, value, on, low, high in leaf_boxes(nodes):
+        leaf = Leaf(0, node, value, np.array(on), np.array(low), np.array(high))
+        inside = [[(not b < v) and (a == -np.inf or v > a) for f, a, b in zip(on, low, high) for v in (row[f],)] for row in x]
+        assert leaf.patterns(cuts).tolist() == [sum(1 << i for i, m in enumerate(row) if m) for row in inside]
+        met.append([all(row) for row in inside])
+    assert (np.sum(met, axis=0) == 1).all()  # each row is in one leaf
+    split = nodes[nodes["feature"] >= 0]
+    assert len(cuts.known) == len(set(zip(split["feature"], split["threshold"])))

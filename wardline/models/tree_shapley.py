@@ -24,6 +24,8 @@ from wardline.session import cut_lineage
 
 #: Patterns of one block of leaves at most, as far as path lengths and background rows allow.
 BLOCK_PATTERNS = 4_000_000
+#: Leaves of at most so many features have all their patterns in an array, others those that were met.
+DENSE = 6
 BOX_SCHEMA = "tree int, leaf bigint, value double, features array<int>, low array<double>, high array<double>"
 
 
@@ -45,6 +47,22 @@ def leaf_boxes(nodes: pd.DataFrame) -> list[tuple]:
     return out
 
 
+class Cuts:
+    """The rows of a batch on both sides of the cuts of one tree at a time; its leaves share them."""
+
+    def __init__(self, x: np.ndarray):
+        self.columns, self.tree, self.known = np.ascontiguousarray(x.T), None, {}
+
+    def sides(self, tree: int, feature: int, cut: float) -> tuple[np.ndarray, np.ndarray]:
+        """(above the cut, not above it); a missing value is not above."""
+        if tree != self.tree:
+            self.tree, self.known = tree, {}
+        if (feature, cut) not in self.known:
+            above = self.columns[feature] > cut
+            self.known[feature, cut] = above, ~above
+        return self.known[feature, cut]
+
+
 @dataclass
 class Leaf:
     tree: int
@@ -54,13 +72,16 @@ class Leaf:
     low: np.ndarray
     high: np.ndarray
 
-    def patterns(self, x: np.ndarray) -> np.ndarray:
+    def patterns(self, cuts: Cuts) -> np.ndarray:
         """Bit i: the row meets the interval of the leaf's feature i."""
-        own = x[:, self.features]
-        with np.errstate(invalid="ignore"):
-            met = (own > self.low) & ~(own > self.high)
-        met |= ~np.isfinite(self.low) & ~(own > self.high)
-        return met @ (1 << np.arange(len(self.features), dtype=np.int64))
+        out = np.zeros(cuts.columns.shape[1], np.uint8 if len(self.features) <= DENSE else np.int64)
+        for i, (feature, low, high) in enumerate(zip(self.features.tolist(), self.low.tolist(), self.high.tolist())):
+            met = cuts.sides(self.tree, feature, high)[1] if high < np.inf else None
+            if low > -np.inf:
+                above = cuts.sides(self.tree, feature, low)[0]
+                met = above if met is None else met & above
+            out |= 1 << i if met is None else met.astype(out.dtype) << i
+        return out
 
 
 def _weights(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,34 +148,64 @@ def path_shapley(model, df: DataFrame, background: DataFrame, cols: Sequence[str
         leaves = _leaves(boxes.filter(F.col("block") == block))
 
         def count(batches: Iterator[pa.RecordBatch], leaves=leaves) -> Iterator[pa.RecordBatch]:
+            def part(i: np.ndarray, mask: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(mask, pa.int64()), pa.array(n, pa.int64())], ["i", "mask", "n"])
+
+            width = [1 << len(leaf.features) if len(leaf.features) <= DENSE else 0 for leaf in leaves]
+            at = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
+            held = np.zeros(at[-1], np.int64)
             for batch in batches:
                 x = _matrix(batch)
+                cuts = Cuts(x)
                 for i, leaf in enumerate(leaves if len(x) else ()):
-                    mask, n = np.unique(leaf.patterns(x), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mask), i), pa.int32()), pa.array(mask), pa.array(n)], ["i", "mask", "n"])
+                    pattern = leaf.patterns(cuts)
+                    if width[i]:
+                        held[at[i] : at[i + 1]] += np.bincount(pattern, minlength=width[i])
+                    else:
+                        mask, n = np.unique(pattern, return_counts=True)
+                        yield part(np.full(len(mask), i), mask, n)
+            met = np.flatnonzero(held)
+            own = np.repeat(np.arange(len(leaves)), width)[met]
+            for k in range(0, len(met), 100_000):
+                s = slice(k, k + 100_000)
+                yield part(own[s], met[s] - at[own[s]], held[met[s]])
 
         counted = back.mapInArrow(count, "i int, mask bigint, n bigint").groupBy("i", "mask").agg(F.sum("n").alias("n")).toPandas()
         counted = counted.sort_values(["i", "mask"])
         ends = np.searchsorted(counted["i"].to_numpy(), np.arange(len(leaves) + 1))
         masks, shares = counted["mask"].to_numpy(), counted["n"].to_numpy() / max(n_back, 1)
 
-        def explain(batches: Iterator[pa.RecordBatch], leaves=leaves, ends=ends, masks=masks, shares=shares) -> Iterator[pa.RecordBatch]:
-            found: list[dict[int, np.ndarray]] = [{} for _ in leaves]  # values of the own patterns met so far
+        full = [(1 << len(leaf.features)) - 1 for leaf in leaves]
+        base = sum(leaf.value * shares[ends[i] : ends[i + 1]][masks[ends[i] : ends[i + 1]] == full[i]].sum() for i, leaf in enumerate(leaves)) / n_trees
+
+        def explain(batches: Iterator[pa.RecordBatch], leaves=leaves, ends=ends, masks=masks, shares=shares, base=base) -> Iterator[pa.RecordBatch]:
+            tables: list = [None] * len(leaves)  # values of the own patterns met so far
             for batch in batches:
                 x = _matrix(batch)
-                phi = batch["phi"].flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).copy()
+                phi = batch["phi"].flatten().to_numpy(zero_copy_only=False).reshape(len(x), d + 1).T.copy()
+                phi[0] -= base
+                cuts = Cuts(x)
                 for i, leaf in enumerate(leaves if len(x) else ()):
-                    seen = slice(ends[i], ends[i + 1])
-                    full = (1 << len(leaf.features)) - 1
-                    phi[:, 0] -= leaf.value * shares[seen][masks[seen] == full].sum() / n_trees
-                    own, at = np.unique(leaf.patterns(x), return_inverse=True)
-                    new = np.array([o for o in own.tolist() if o not in found[i]], np.int64)
-                    if len(new):
-                        found[i].update(zip(new.tolist(), leaf_values(leaf, new, masks[seen], shares[seen])))
-                    table = np.array([found[i][o] for o in own.tolist()])
-                    phi[:, 1 + leaf.features] -= table[at.reshape(-1)] / n_trees
+                    seen, m = slice(ends[i], ends[i + 1]), len(leaf.features)
+                    pattern = leaf.patterns(cuts)
+                    if m <= DENSE:
+                        if tables[i] is None:
+                            tables[i] = np.full((m, 1 << m), np.nan)
+                        table, at = tables[i], pattern.astype(np.intp)
+                        new = np.flatnonzero((np.bincount(at, minlength=1 << m) > 0) & np.isnan(table).any(axis=0)) if m else ()
+                        if len(new):
+                            table[:, new] = leaf_values(leaf, new, masks[seen], shares[seen]).T / n_trees
+                    else:
+                        own, at = np.unique(pattern, return_inverse=True)
+                        tables[i] = tables[i] or {}
+                        new = np.array([o for o in own.tolist() if o not in tables[i]], np.int64)
+                        if len(new):
+                            tables[i].update(zip(new.tolist(), leaf_values(leaf, new, masks[seen], shares[seen]) / n_trees))
+                        table, at = np.array([tables[i][o] for o in own.tolist()]).T, at.reshape(-1)
+                    for k, f in enumerate(leaf.features.tolist()):
+                        phi[1 + f] -= table[k][at]
                 yield pa.RecordBatch.from_arrays(
-                    [batch[ROW_ID], batch[FEATURES], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * (d + 1), pa.int32()), pa.array(phi.ravel()))],
+                    [batch[ROW_ID], batch[FEATURES], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * (d + 1), pa.int32()), pa.array(phi.T.ravel()))],
                     [ROW_ID, FEATURES, "phi"])
 
         held = held.mapInArrow(explain, f"{ROW_ID} bigint, {FEATURES} array<double>, phi array<double>")
