@@ -246,3 +246,14 @@ def test_train_flags_of_a_forest_equal_its_transform(spark, rows):
     assert sorted(model.train_flags().select(*names).collect()) == sorted(model.transform(rows).select(*names).collect())
     with pytest.raises(ValueError):
         model.with_trees(4, 0.1, 0.0).train_flags()
+
+
+def test_residual_passes_write_no_features(spark, monkeypatch):
+    from wardline.models import ocsvm
+
+    written = []
+    monkeypatch.setattr(ocsvm, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.random.default_rng(15).normal(size=(400, 5)))],
+                                 "row_id bigint, features array<double>")
+    OneClassSVM("rbf", 0.2).fit(rows)
+    assert len(written) > 2 and not any("features" in columns for columns in written)
