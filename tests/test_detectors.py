@@ -257,3 +257,18 @@ def test_residual_passes_write_no_features(spark, monkeypatch):
                                  "row_id bigint, features array<double>")
     OneClassSVM("rbf", 0.2).fit(rows)
     assert len(written) > 2 and not any("features" in columns for columns in written)
+
+
+def test_the_reloaded_study_searches_the_whole_grids(spark, monkeypatch):
+    from wardline.catalog import detectors
+
+    asked = []
+
+    def sweep(datasets, grids, **more):
+        asked.append(sum(len(tune.expand(g)) for g in grids.values()))
+        raise InterruptedError
+
+    monkeypatch.setattr(detectors.tune, "sweep", sweep)
+    with pytest.raises(InterruptedError):
+        detectors.k7_reload(spark, "/root/testdata/sf0.001")
+    assert asked == [107]
