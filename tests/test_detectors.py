@@ -272,3 +272,37 @@ def test_the_reloaded_study_searches_the_whole_grids(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         detectors.k7_reload(spark, "/root/testdata/sf0.001")
     assert asked == [107]
+
+
+def test_svm_fits_within_tasks_equal_fits_by_passes(spark, monkeypatch):
+    from wardline.models import ocsvm
+
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.random.default_rng(16).normal(size=(1500, 4)))],
+                                 "row_id bigint, features array<double>")
+    grid = tune.expand({"kernel": ["rbf", "sigmoid", "poly"], "nu": [0.05, 0.2], "gamma": ["scale", 0.1]})
+    passes, run = [], ocsvm._data_pass
+    monkeypatch.setattr(ocsvm, "_data_pass", lambda *a: passes.append(1) or run(*a))
+    within = ocsvm.fit_many(rows, grid)
+    assert not passes
+    monkeypatch.setattr(ocsvm, "HELD", 0)
+    for a, b in zip(within, ocsvm.fit_many(rows, grid)):
+        assert a.params["passes"] == b.params["passes"] and np.allclose(a.weights, b.weights, rtol=1e-6, atol=1e-9)
+    assert passes
+
+
+def test_a_sweep_over_its_own_train_rows_searches_once(spark, rows, monkeypatch):
+    both = rows.withColumn("label", (F.col("row_id") >= 1_000_000).cast("int"))
+    grids = {"isolation_forest": {"n_estimators": [10], "contamination": [0.1], "max_samples": ["auto"]},
+             "one_class_svm": {"kernel": ["rbf"], "nu": [0.1], "gamma": ["scale"]}, "lof": {"n_neighbors": [5, 10], "contamination": [0.05]}}
+    searched, search = [], tune.knn_join
+    monkeypatch.setattr(tune, "knn_join", lambda *a, **k: searched.append(1) or search(*a, **k))
+    names = ["model_id", "row_id", "label", "score", "is_anomaly"]
+    once = sorted(map(tuple, tune.sweep({"raw": (both, both)}, grids)[1].select(*names).collect()))
+    assert len(searched) == 1
+    other = both.select("*")
+    twice = sorted(map(tuple, tune.sweep({"raw": (other, both)}, grids)[1].select(*names).collect()))
+    assert len(searched) == 3 and [r[:3] + r[4:] for r in once] == [r[:3] + r[4:] for r in twice]
+    assert np.allclose([r[3] for r in once], [r[3] for r in twice], rtol=1e-12)
+    repeated = both.unionByName(both.limit(3))
+    tune.sweep({"raw": (repeated, repeated)}, {"lof": grids["lof"]})
+    assert len(searched) == 5

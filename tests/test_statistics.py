@@ -52,6 +52,19 @@ def test_misplaced_bounds_narrow_the_search_too(spark, monkeypatch):
     assert exact_quantiles(df.limit(60), ["x"], [0.5]).first()["value"] == 29.5
 
 
+def test_wanted_order_statistics_share_their_rows_and_small_columns_need_no_sketch(skewed, monkeypatch):
+    df, x, y = skewed
+    monkeypatch.setattr(quantiles.F, "percentile_approx", None)
+    spans, make = [], quantiles.F.struct
+    monkeypatch.setattr(quantiles.F, "struct", lambda *a: spans.append(a) or make(*a))
+    wanted = {"x": [0.1, 0.5, 0.9], "y": [0.333]}
+    order = quantiles._order_statistics(df, wanted)
+    assert len(spans) == 2
+    for c, v in (("x", x), ("y", y)):
+        assert [p for p, _ in order[c]] == wanted[c]
+        assert [q for _, q in order[c]] == pytest.approx([np.quantile(v, p) for p in wanted[c]], rel=1e-12)
+
+
 def test_quantiles_by_group_and_tiny_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 7.0), ("b", None)], "g string, x double")
     got = {r["g"]: r["value"] for r in exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
